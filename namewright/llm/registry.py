@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from namewright.llm import token_store
+from namewright.llm import simhash, token_store
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op4_token_output": token_store.op4_token_output,
 }
 
