@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from namewright.llm import decontaminate, line_dedup, mixing, simhash, token_store
+from namewright.llm import decontaminate, language, line_dedup, mixing, quality, simhash, token_store
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_token_output": token_store.op4_token_output,
+    "op5_language": language.op5_language,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op9_quality": quality.op9_quality,
     "op10_mix": mixing.op10_mix,
 }
 
