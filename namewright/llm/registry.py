@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from namewright.llm import decontaminate, language, line_dedup, mixing, quality, simhash, token_store
+from namewright.llm import decontaminate, language, line_dedup, mixing, quality, secrets, simhash, token_store
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_secrets": secrets.op3_secrets,
     "op4_token_output": token_store.op4_token_output,
     "op5_language": language.op5_language,
     "op7_decontaminate": decontaminate.op7_decontaminate,
