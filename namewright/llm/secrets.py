@@ -140,8 +140,10 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc_id, rules): the kinds of rules for which a document holds all trigrams of a branch."""
     spark = index.sparkSession
     branches = [(g, r.kind, i, len(b)) for r in rules for i, b in enumerate(trigram_query(r.pattern)) for g in b]
-    asked = spark.createDataFrame(branches, "gram string, kind string, branch int, need int")
+    if not branches:
+        return index.groupBy("doc_id").agg(F.collect_set("gram").alias("rules"))
     # The query's size depends on the rules alone, so it may be broadcast.
+    asked = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(b, ("gram", "kind", "branch", "need"), strict=True))) for b in branches))))
     met = index.join(F.broadcast(asked), "gram").groupBy("doc_id", "kind", "branch", "need").agg(F.count("*").alias("n"))
     return met.where("n = need").groupBy("doc_id").agg(F.collect_set("kind").alias("rules"))
 
