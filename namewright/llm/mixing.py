@@ -110,5 +110,16 @@ def mix(docs: DataFrame, quality: str | None = None, share: float = SHARE, most:
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, quality: str | None = None, share: float = SHARE, most: float = MOST_TIMES, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source and any others), each as often as the mix takes it, whole documents only.
+
+    Rows that share a doc_id are taken together, as often as the one that is taken most.
+    """
+    times = mix(docs, quality, share, most, seed, whole=True).where("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    times = times.withColumnRenamed("doc_id", "taken_id")
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["taken_id"]))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).drop("_time")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -176,14 +176,19 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string")) % of
 
 
+def training_ids(labels: DataFrame, keep: Column, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """(doc_id, y) of the labelled documents to learn from."""
+    own = labels.where(F.col(label).isNotNull() & keep).groupBy("doc_id").agg(F.max(label).alias("y"))
+    return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+
+
 def train(known: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> Forest:
     """Fit on (doc_id, x) joined with labels, of the rows for which ``keep`` holds.
 
     At most ``max_rows`` rows are used, those whose doc_id hashes lowest, so that the same rows are taken each time. A
     doc_id with several labels counts once, with the greatest; several texts of one doc_id count each.
     """
-    own = labels.where(F.col(label).isNotNull() & keep).groupBy("doc_id").agg(F.max(label).alias("y"))
-    picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    picked = training_ids(labels, keep, label, max_rows)
     rows = known.join(picked, "doc_id").select("doc_id", "x", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows).toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
     flat = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(y) else np.zeros(0)
