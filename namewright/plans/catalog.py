@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from namewright.plans import names
+
+QUERIES: dict = {**names.QUERIES}
+ORACLES: dict[str, str] = {**names.ORACLES}
