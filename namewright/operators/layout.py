@@ -97,7 +97,7 @@ def stop_slots(columns: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def planned_cards(stop_slot: Column) -> Column:
-    return F.coalesce(F.least(F.greatest(stop_slot - 1, F.lit(0)), F.lit(CARDS)), F.lit(CARDS)).cast("int")
+    return F.when(stop_slot.isNull(), CARDS).otherwise(F.least(F.greatest(stop_slot - 1, F.lit(0)), F.lit(CARDS))).cast("int")
 
 
 def column_plan(photos: DataFrame, columns: DataFrame, stops: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from namewright.plans import names
+from namewright.plans import names, scans, scans_sql
 
-QUERIES: dict = {**names.QUERIES}
-ORACLES: dict[str, str] = {**names.ORACLES}
+QUERIES: dict = {**names.QUERIES, **scans.QUERIES}
+ORACLES: dict[str, str] = {**names.ORACLES, **scans_sql.ORACLES}
