@@ -6,6 +6,8 @@ keys of any length, and a column expression for keys of up to 62 characters that
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,6 +77,11 @@ def ratio(one: str, other: str) -> float:
 # --- column expressions ---------------------------------------------------------------------------------------------
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda a repeated expression would be evaluated at each place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lcs_column(one: Column, other: Column) -> Column:
     """The LCS length for ``one`` of at most MAX_SQL_CHARS characters. Masking each step keeps the sum below overflow."""
     letters = F.filter(F.split(other, ""), lambda c: c != "")
@@ -84,8 +91,7 @@ def lcs_column(one: Column, other: Column) -> Column:
     bits = lambda c: F.aggregate(places, F.lit(0).cast("long"), lambda m, i: F.when(F.substring(one, i + 1, F.lit(1)) == c, m.bitwiseOR(bit(i))).otherwise(m))
 
     def step(s: Column, c: Column) -> Column:
-        u = s.bitwiseAND(bits(c))
-        return (s + u).bitwiseOR(s - u).bitwiseAND(full)
+        return let(s.bitwiseAND(bits(c)), lambda u: (s + u).bitwiseOR(s - u).bitwiseAND(full))
 
     return F.aggregate(letters, full, step, lambda s: F.bit_count(F.bitwise_not(s).bitwiseAND(full)))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namewright.functions import geometry as g
+from namewright.functions.similarity import let
 
 #: Fixed values of the layout rules.
 PAIR_RATIO, PAIR_SIZE, PAIR_ERROR = 40.0 / 18.0, 1.3, 0.2
@@ -128,16 +129,19 @@ def predict_shift(offsets: list[float]) -> float:
 
 def predicted_shift(frame: Column) -> Column:
     """``predict_shift`` of an array of the last offsets, oldest first, as an expression."""
-    n = F.size(frame)
-    median = F.get(F.array_sort(frame), F.floor(n / 2).cast("int"))
-    numbered = F.transform(frame, lambda o, k: F.struct(k.cast("double").alias("k"), o.alias("o")))
-    near = F.filter(numbered, lambda p: F.abs(p["o"] - median) <= OUTLIER_MM)
-    total = lambda f: F.aggregate(near, F.lit(0.0), lambda s, p: s + f(p))
-    m = F.size(near)
-    mean_k, mean_o = total(lambda p: p["k"]) / m, total(lambda p: p["o"]) / m
-    slope = total(lambda p: (p["k"] - mean_k) * (p["o"] - mean_o)) / total(lambda p: (p["k"] - mean_k) * (p["k"] - mean_k))
-    line = mean_o + slope * (n - mean_k)
-    return F.when(n == 0, 0.0).when(m < LEAST_INLIERS, median).otherwise(F.least(F.greatest(line, median - OUTLIER_MM), median + OUTLIER_MM))
+    def line(near: Column, n: Column, median: Column) -> Column:
+        mean = lambda part: F.aggregate(near, F.lit(0.0), lambda s, p: s + p[part]) / F.size(near)
+        cross = lambda m, a, b: F.aggregate(near, F.lit(0.0), lambda s, p: s + (p[a] - m[a]) * (p[b] - m[b]))
+        fitted = let(F.struct(mean("k").alias("k"), mean("o").alias("o")), lambda m: m["o"] + cross(m, "k", "o") / cross(m, "k", "k") * (n - m["k"]))
+        return F.least(F.greatest(fitted, median - OUTLIER_MM), median + OUTLIER_MM)
+
+    def shift(o: Column, median: Column) -> Column:
+        numbered = F.transform(o, lambda v, k: F.struct(k.cast("double").alias("k"), v.alias("o")))
+        near = F.filter(numbered, lambda p: F.abs(p["o"] - median) <= OUTLIER_MM)
+        return let(near, lambda kept: F.when(F.size(kept) < LEAST_INLIERS, median).otherwise(line(kept, F.size(o), median)))
+
+    middle = lambda o: F.get(F.array_sort(o), F.floor(F.size(o) / 2).cast("int"))
+    return let(frame, lambda o: F.when(F.size(o) == 0, 0.0).otherwise(let(middle(o), lambda median: shift(o, median))))
 
 
 def drift(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
