@@ -104,7 +104,7 @@ def planned_cards(stop_slot: Column) -> Column:
 def column_plan(photos: DataFrame, columns: DataFrame, stops: DataFrame) -> DataFrame:
     """A row for each column that a photo's config asks for: readable or not, its stop card and its cards."""
     n = F.when(F.col("config") == "C6", C6_COLUMNS).otherwise(C4_COLUMNS)
-    asked = photos.select("image", "config", F.explode(F.sequence(F.lit(1), n)).cast("long").alias("column"))
+    asked = photos.select("image", "config", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))).alias("column"))
     joined = asked.join(columns, ["image", "column"], "left").join(stops, ["image", "column"], "left")
     return joined.withColumn("readable", F.col("m").isNotNull()).withColumn("stop_card", F.col("stop_slot").isNotNull()).withColumn("n_cards", planned_cards(F.col("stop_slot")))
 
