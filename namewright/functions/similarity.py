@@ -17,43 +17,50 @@ _ALL = np.uint64(2**64 - 1)
 
 
 class KeyMatrix:
-    """Keys as columns of code points, padded with -1, so that a step over one position touches all keys."""
+    """Keys as columns of letters, longest keys first, so that a step over one position touches just the keys that reach it."""
 
     def __init__(self, keys: list[str]):
         self.lengths = np.array([len(k) for k in keys], np.int64)
-        width = int(self.lengths.max(initial=0))
-        codes, self.codes = np.unique(np.concatenate([np.frombuffer(k.encode("utf-32-le"), "<u4") for k in keys] or [np.zeros(0, np.uint32)]), return_inverse=True)
+        self.order = np.argsort(-self.lengths, kind="stable")
+        codes, letters = np.unique(np.concatenate([np.frombuffer(keys[i].encode("utf-32-le"), "<u4") for i in self.order] or [np.zeros(0, np.uint32)]), return_inverse=True)
         self.alphabet = {int(c): i for i, c in enumerate(codes)}
-        # The last symbol stands for no character; its mask is always empty.
-        matrix = np.full((len(keys), width), len(codes), np.int32)
-        matrix[np.arange(width) < self.lengths[:, None]] = self.codes
-        self.columns = np.ascontiguousarray(matrix.T)
+        sorted_lengths = self.lengths[self.order]
+        starts = np.cumsum(sorted_lengths) - sorted_lengths
+        width = int(self.lengths.max(initial=0))
+        reach = np.searchsorted(-sorted_lengths, -np.arange(width), side="left")
+        self.columns = [letters[starts[:n] + at].astype(np.intp) for at, n in enumerate(reach)]
 
     def lcs(self, query: str) -> np.ndarray:
         """The LCS length of the query and each key."""
         words = max(1, -(-len(query) // 64))
-        masks = np.zeros((words, len(self.alphabet) + 1), np.uint64)
+        masks = np.zeros((words, max(len(self.alphabet), 1)), np.uint64)
         for at, c in enumerate(query):
             slot = self.alphabet.get(ord(c))
             if slot is not None:
                 masks[at // 64, slot] |= np.uint64(1 << (at % 64))
         states = [np.full(len(self.lengths), _ALL) for _ in range(words)]
+        u, total = (np.empty(len(self.lengths), np.uint64) for _ in range(2))
         for column in self.columns:
-            carry = np.zeros(len(self.lengths), np.uint64)
+            n = len(column)
+            met, added, carry = u[:n], total[:n], None
             for w in range(words):
-                s = states[w]
-                u = s & masks[w][column]
-                total = s + u
-                over = (total < s).astype(np.uint64)
-                total = total + carry
-                over |= (total < carry).astype(np.uint64)
-                states[w] = total | (s - u)
-                carry = over
+                s = states[w][:n]
+                np.take(masks[w], column, out=met)
+                met &= s
+                np.add(s, met, out=added)
+                if words > 1:
+                    over = added < s
+                    if carry is not None:
+                        added += carry
+                        over |= added < carry
+                    carry = over.astype(np.uint64)
+                s -= met
+                s |= added
         out = np.zeros(len(self.lengths), np.int64)
         for w, s in enumerate(states):
             used = min(64, len(query) - 64 * w)
             if used > 0:
-                out += np.bitwise_count(~s & np.uint64((1 << used) - 1))
+                out[self.order] += np.bitwise_count(~s & np.uint64((1 << used) - 1))
         return out
 
     def ratio(self, query: str) -> np.ndarray:

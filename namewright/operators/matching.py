@@ -24,7 +24,7 @@ from namewright.functions.text import clean, has_letter, normalize
 ACCEPT_SCORE, ACCEPT_LEAD, SHORT_KEY_CHARS, SHORT_KEY_SCORE, EPSILON = 90.0, 5.0, 6, 95.0, 1e-6
 CANDIDATES = 3
 #: Keys of one broadcast shard: about 100 MB with key matrix, names and ids.
-SHARD_KEYS = 500_000
+SHARD_KEYS = 200_000
 
 CANDIDATE = "struct<name:string,oracle_id:string,lang:string,key:string,score:double>"
 INDEX_SCHEMA = "key string, name string, oracle_id string, lang string, entry_idx long"
