@@ -26,8 +26,13 @@ def local_session(app: str = "namewright", cores: str = "8", partitions: int = 8
     )
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package even where only the driver's sys.path has it.
+#: Bytes of one Arrow batch between the JVM and a Python worker. Whole texts can be long, and Spark's own bound of 64 MB for
+#: each task and direction is too much beside a small executor's heap.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package where only the driver's sys.path has it, and bound Arrow batches by bytes.
 
     On a cluster the package comes with ``--py-files``; the added path is then simply absent.
     """
@@ -35,6 +40,7 @@ def ship_package(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

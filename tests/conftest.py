@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from namewright.session import local_session, ship_package  # noqa: E402
+from namewright.session import local_session, prepare  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -17,7 +17,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     session = local_session("tests", cores="4", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
-    ship_package(session)
+    prepare(session)
     return session
 
 
