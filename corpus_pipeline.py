@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from namewright.llm import decontaminate, mixing, near_text, quality, token_store
 from namewright.llm.common import DOCUMENT_COLUMNS, read
-from namewright.session import cut, ship_package
+from namewright.session import cut, prepare
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least 0.5; the model learns from the labels of this run's own documents."""
-    ship_package(spark)
+    prepare(spark)
     documents = docs.select(*DOCUMENT_COLUMNS)
     labels = read(spark, sf_dir, "labels")
     keep = quality.fold(F.col("doc_id"), 3) != 1
@@ -29,13 +29,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    ship_package(spark)
+    prepare(spark)
     return near_text.keep_one_of_each_group(docs.select(*DOCUMENT_COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of benchmark items; a document with nothing else in it goes."""
-    ship_package(spark)
+    prepare(spark)
     documents = docs.select(*DOCUMENT_COLUMNS).withColumn("_empty", F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)
     cleaned = decontaminate.remove_spans(documents, read(spark, sf_dir, "benchmark"))
     return cleaned.where(F.col("_empty") | (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)).select(*DOCUMENT_COLUMNS)
@@ -43,13 +43,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, repeated once for each time that the mix takes them."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs.select(*DOCUMENT_COLUMNS)).select(*DOCUMENT_COLUMNS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, written in the frame format and read back: a row per document of the mix."""
-    ship_package(spark)
+    prepare(spark)
     return token_store.token_output(docs.select("doc_id", "text"), token_store.default_tokenizer())
 
 
@@ -67,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    ship_package(spark)
+    prepare(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.split()[0])
