@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import resource
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +74,9 @@ def reader_comparison(lines: DataFrame, key: str = "reader") -> DataFrame:
 def set_statistics(slots: DataFrame, by: str) -> DataFrame:
     """Counts of a set by one attribute, with distinct printings and entities."""
     return slots.groupBy(by).agg(F.count("*").alias("slots"), F.countDistinct("printing").alias("printings"), F.countDistinct("oracle_id").alias("oracles"))
+
+
+def process_cpu_seconds() -> float:
+    """User and system time of this process so far; executors' times are in Spark's task metrics."""
+    used = resource.getrusage(resource.RUSAGE_SELF)
+    return used.ru_utime + used.ru_stime

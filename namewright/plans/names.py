@@ -105,6 +105,18 @@ def match_accept(spark, sf_dir):
     return _matched(spark, sf_dir).select("raw", "key", "status", best(0).alias("best"), best(1).alias("runner_up"), F.get("candidates", F.lit(0))["oracle_id"].alias("oracle_id"))
 
 
+def match_bulk(spark, sf_dir):
+    """The headline load: distinct kinds of parts, damaged, against all long part names as keys."""
+    key = F.lower(F.concat_ws(" ", "p_type", F.replace("p_brand", F.lit("#"), F.lit(" ")), "p_name"))
+    part = table(spark, sf_dir, "part")
+    index = part.select(key.alias("key"), key.alias("name"), F.col("p_name").alias("oracle_id"), F.lit("en").alias("lang"), F.col("p_partkey").alias("entry_idx"))
+    kind = F.lower(F.concat_ws(" ", "p_type", F.replace("p_brand", F.lit("#"), F.lit(" "))))
+    asked = part.select(kind.alias("kind")).distinct().select(F.concat(F.substring("kind", 1, 2), F.substring(F.col("kind"), F.lit(4), F.length("kind"))).alias("query"))
+    found = matching.top_candidates(asked.repartition(spark.sparkContext.defaultParallelism, "query"), matching.shards(index), "query")
+    listed = found.select("query", F.posexplode("candidates").alias("rank", "c"))
+    return listed.select("query", (F.col("rank") + 1).cast("long").alias("rank"), "c.oracle_id", "c.key", sim.published_score(F.col("c.score")).alias("score"))
+
+
 # --- C1-C6 ------------------------------------------------------------------------------------------------------------
 
 
@@ -167,7 +179,7 @@ def slot_results(spark, sf_dir):
     return rows.select("slot", "status", "raw", "name", "oracle_id", "lang", "score", F.size("candidates").cast("long").alias("n_candidates"))
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, text_clean, text_has_letter, text_mana_token, text_name_shape, text_decoy, indel_ratio_pairs, match_top3, match_best_per_entity, match_accept, space_ambiguous, trust_filter, cascade_reread, fallback_best, slot_results)}
+QUERIES = {f.__name__: f for f in (text_normalize, text_clean, text_has_letter, text_mana_token, text_name_shape, text_decoy, indel_ratio_pairs, match_top3, match_best_per_entity, match_accept, match_bulk, space_ambiguous, trust_filter, cascade_reread, fallback_best, slot_results)}
 
 
 #: DuckDB has no LCS: the same bit recurrence as a list reduction over the characters of b.
@@ -252,6 +264,12 @@ ORACLES = {
       SELECT a, b, lcs, (length(a) + length(b) - 2 * lcs)::BIGINT AS indel, {published_sql('2.0::DOUBLE * lcs / (length(a) + length(b)) * 100.0::DOUBLE')} AS score FROM p""",
     "match_top3": f"WITH {_SCORED} SELECT raw, rank, oracle_id, key, {published_sql('ratio')} AS score FROM top",
     "match_best_per_entity": f"WITH {_SCORED} SELECT query, oracle_id, key, entry_idx, {published_sql('ratio')} AS score FROM best",
+    "match_bulk": f"""WITH long AS (SELECT lower(p_type || ' ' || replace(p_brand, '#', ' ') || ' ' || p_name) AS key, p_name AS oracle_id, min(p_partkey) AS entry_idx FROM part GROUP BY ALL),
+      kinds AS (SELECT DISTINCT lower(p_type || ' ' || replace(p_brand, '#', ' ')) AS kind FROM part), q AS (SELECT substr(kind, 1, 2) || substr(kind, 4) AS query FROM kinds),
+      pairs AS (SELECT query, key, oracle_id, entry_idx, {lcs_sql('query', 'key')} AS lcs FROM q, long), scored AS (SELECT *, 2.0::DOUBLE * lcs / (length(query) + length(key)) * 100.0::DOUBLE AS ratio FROM pairs),
+      best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query, oracle_id ORDER BY ratio DESC, entry_idx) = 1),
+      top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ratio DESC, oracle_id) AS rank FROM best QUALIFY rank <= 3)
+      SELECT query, rank, oracle_id, key, {published_sql('ratio')} AS score FROM top""",
     "match_accept": f"""WITH {_SCORED}, w AS (SELECT raw, query AS key, max(CASE WHEN rank = 1 THEN {published_sql('ratio')} END) AS best, max(CASE WHEN rank = 2 THEN {published_sql('ratio')} END) AS runner_up,
         max(CASE WHEN rank = 1 THEN ratio END) AS b, max(CASE WHEN rank = 2 THEN ratio END) AS r, max(CASE WHEN rank = 1 THEN oracle_id END) AS oracle_id FROM top GROUP BY raw, query)
       SELECT raw, key, CASE WHEN b >= 90 - 1e-6 AND b - r >= 5 - 1e-6 AND (length(key) > 6 OR b >= 95 - 1e-6) THEN 'auto' ELSE 'review' END AS status, best, runner_up, oracle_id FROM w""",
