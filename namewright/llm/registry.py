@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from namewright.llm import chat, decontaminate, embedding_dedup, language, line_dedup, mixing, quality, secrets, simhash, token_store
+from namewright.llm.oracles import ORACLES
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,7 +18,4 @@ QUERIES = {
     "op10_mix": mixing.op10_mix,
 }
 
-ORACLES: dict[str, str] = {
-    "op2_line_dedup": line_dedup.ORACLE,
-    "op8_chat": chat.ORACLE,
-}
+__all__ = ["ORACLES", "QUERIES"]
