@@ -225,39 +225,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return found.select("doc_id", F.col("hits.n_words").alias("n_words"), hit.alias("n_hit"), F.col("hits.items").alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW - 1, max_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
+def cleaned(automaton: ItemAutomaton, text: str | None, max_words: int, max_coverage: float) -> str | None:
+    """The text without spans beyond the limits; what a cut brings together is scanned again."""
+    while text:
+        n, spans, _ = automaton.scan(text)
+        covered = sum(b - a for a, b in spans)
+        gone = [(a, b) for a, b in spans if b - a > max_words or covered > max_coverage * n]
+        if not gone:
+            break
+        text = _without(text, gone)
+    return text
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW - 1, max_coverage: float = 0.5, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``docs`` without the passages that benchmark items share: hit spans of more than ``max_words`` words go.
 
-    Where more than ``max_coverage`` of the words are hit, every hit span goes whatever its length. Documents keep their
-    row; one of which nothing is left gets an empty text. n_chars, if there, is counted anew for changed texts.
+    Where more than ``max_coverage`` of the words are hit (by one automaton's items), every hit span goes whatever its length.
+    Documents keep their row; one of which nothing is left gets an empty text. n_chars, if there, is counted anew.
     """
-    found = scan(docs, benchmark, window)
-
-    def clean(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            at = table.schema.get_field_index("text")
-            new = []
-            for text, hits in zip(table.column("text"), table.column("hits"), strict=True):
-                text, spans, total = text.as_py(), hits["spans"].as_py(), hits["n_words"].as_py()
-                covered = sum(s["b"] - s["a"] for s in spans)
-                gone = [s for s in spans if s["b"] - s["a"] > max_words or covered > max_coverage * total]
-                new.append(_without(text, gone) if gone else text)
-            table = table.set_column(at, "text", pa.array(new, pa.string())).drop_columns(["hits"])
-            yield from table.combine_chunks().to_batches()
-
+    spark = docs.sparkSession
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = found.mapInArrow(clean, fields)
+    out = docs
+    for automaton in _automata(benchmark, window, shard_chars):
+        held = spark.sparkContext.broadcast(automaton)
+
+        def clean(batches, held=held):
+            for batch in batches:
+                at = batch.schema.get_field_index("text")
+                new = pa.array([cleaned(held.value, t.as_py(), max_words, max_coverage) for t in batch.column(at)], pa.string())
+                yield pa.record_batch([new if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+        out = out.mapInArrow(clean, fields)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 
-def _without(text: str, spans: list[dict]) -> str:
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
     raw = text.encode("utf-8", "surrogatepass")
     places = [m.span() for m in _WORD.finditer(raw.translate(_NORMAL))]
     kept, last = [], 0
-    for s in spans:
-        kept.append(raw[last : places[s["a"]][0]])
-        last = places[s["b"] - 1][1]
+    for a, b in spans:
+        kept.append(raw[last : places[a][0]])
+        last = places[b - 1][1]
     kept.append(raw[last:])
     return b"".join(kept).decode("utf-8", "surrogatepass")
 

@@ -7,8 +7,10 @@ over one wide SimHash: the Golay keys of its first 64 bits, and tables that each
 a pair at similarity 0.8 shares a key with a probability of about 0.95, rising steeply above (0.99 at 0.85).
 
 Candidates pass by the distance of 128 bits and are then verified by the exact similarity of their whole shingle sets.
-Equal texts are merged before. Of a bucket with many texts, a spanning forest of its closest pairs and each text's closest
-others are verified, not all its pairs; very large buckets are split into blocks, each pair of blocks being a task of its own.
+Equal texts are merged before. All candidate pairs of a bucket with few texts are verified. Of a larger one the edges of a
+spanning forest of its closest pairs are; then all the texts that such forests connect are dealt as one group over pairs of
+blocks, where every pair within the distance whose ends are not linked yet is verified beside the shingle sets themselves, so
+that no row per pair is made. Very large buckets are split into blocks too.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ SIMILARITY = 0.8
 TABLES, TABLE_BITS, WIDTH = 48, 16, 256
 #: Of 128 bits, a pair at similarity 0.8 differs in 19.4 with a deviation of 4.1; unrelated texts in 64 with one of 5.7.
 MOST_BITS = 33
-#: Buckets of more texts than ALL_PAIRS are verified along a spanning forest and each text's NEAREST closest others.
-ALL_PAIRS, NEAREST, BLOCK = 24, 12, 2048
+ALL_PAIRS, BLOCK = 24, 2048
+#: Texts of one block of a group, for few blocks; groups of more than GROUP_BLOCKS blocks have larger ones, up to BLOCK texts.
+GROUP_BLOCK, GROUP_BLOCKS = 128, 32
 SEED = 42
 
 
@@ -102,18 +105,9 @@ def _forest(distance: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) ->
     return out
 
 
-def _nearest(distance: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (places) of each row and its NEAREST closest columns, of those within MOST_BITS."""
-    if len(cols) > NEAREST:
-        at = np.argpartition(distance, NEAREST, axis=1)[:, :NEAREST]
-    else:
-        at = np.broadcast_to(np.arange(len(cols)), distance.shape)
-    r, k = np.nonzero(np.take_along_axis(distance, at, axis=1) <= MOST_BITS)
-    return list(zip(rows[r].tolist(), cols[at[r, k]].tolist(), strict=True))
-
-
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, x, y, side, id, f0, f1) sorted by key, x, y -> candidate pairs (a, b) of ids, a < b."""
+    """Rows (key, x, y, side, id, f0, f1) sorted by key, x, y -> candidate pairs (a, b) of ids, a < b; large (0 or 1) tells
+    edges of the forest of a large bucket."""
     for table in _groups(batches, ["key", "x", "y"]):
         key, x, y, side, ids, f0, f1 = (table.column(c).to_numpy() for c in ("key", "x", "y", "side", "id", "f0", "f1"))
         f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
@@ -142,18 +136,18 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not s.any():
                 np.fill_diagonal(distance, 255)
             if (distance <= MOST_BITS).any():
-                found = [*_forest(distance, rows, cols, int(sizes[g])), *_nearest(distance, rows, cols), *_nearest(distance.T, cols, rows)]
-                found = np.array(found).reshape(-1, 2) + starts[g]
+                found = np.array(_forest(distance, rows, cols, int(sizes[g]))).reshape(-1, 2) + starts[g]
                 a.append(found[:, 0])
                 b.append(found[:, 1])
+        large = np.concatenate([np.full(len(v), sizes[group[v[0]]] > ALL_PAIRS if len(v) else False) for v in a]) if a else np.zeros(0, bool)
         a, b = (ids[np.concatenate(v)] if v else np.zeros(0, np.int64) for v in (a, b))
-        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b), large]), axis=0)
         if len(pairs):
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2])], names=["a", "b", "large"])
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the ids of distinct texts (id, fp) that may be similar."""
+    """Pairs (a, b, large) of the ids of distinct texts (id, fp) that may be similar."""
 
     def expand(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
@@ -169,7 +163,7 @@ def _candidates(distinct: DataFrame) -> DataFrame:
     sized = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = sized.select("key", "id", "f0", "f1", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = met.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "f0", "f1")
-    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_near, "a long, b long").distinct()
+    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_near, "a long, b long, large long").groupBy("a", "b").agg(F.max("large").alias("large"))
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -198,6 +192,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), run, "a long, b long")
 
 
+def _cross(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, x, y, side, id, label, fp, shingles) sorted by grp, x, y -> links between different labels."""
+    keys = ["grp", "x", "y"]
+    for table in _groups(batches, keys):
+        columns = [table.column(k).to_numpy() for k in keys]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        bounds = np.append(np.flatnonzero(new), table.num_rows)
+        ids, side, labels = (table.column(k).to_numpy() for k in ("id", "side", "label"))
+        fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        f0, f1, sets = fps[:, 0], fps[:, 1], table.column("shingles").combine_chunks()
+        out = []
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            label = np.unique(labels[lo:hi], return_inverse=True)[1]
+            rows = np.flatnonzero(side[lo:hi] == 0)
+            cols = np.flatnonzero(side[lo:hi] == 1) if side[lo:hi].any() else rows
+            distance = np.bitwise_count(f0[lo:hi][rows][:, None] ^ f0[lo:hi][cols]) + np.bitwise_count(f1[lo:hi][rows][:, None] ^ f1[lo:hi][cols])
+            i, j = np.nonzero((distance <= MOST_BITS) & (label[rows][:, None] != label[cols][None, :]))
+            order = np.argsort(distance[i, j], kind="stable")
+            opened: dict[int, np.ndarray] = {}
+            for a, b in zip(rows[i[order]].tolist(), cols[j[order]].tolist(), strict=True):
+                if label[a] == label[b]:
+                    continue
+                one, two = (opened.setdefault(k, np.frombuffer(sets[int(lo) + k].as_py(), np.uint64)) for k in (a, b))
+                # Sizes too far apart cannot be similar.
+                if min(len(one), len(two)) < least * max(len(one), len(two)) - 1e-9:
+                    continue
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if both >= least * (len(one) + len(two) - both) - 1e-9:
+                    out.append((int(ids[lo + a]), int(ids[lo + b])))
+                    label[label == label[b]] = label[a]
+        if out:
+            a, b = zip(*out, strict=True)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _group_links(pairs: DataFrame, links: DataFrame, distinct: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that the forests of large buckets leave out."""
+    groups = components(pairs.where("large = 1").select("a", "b")).toDF("id", "grp")
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > 2)
+    blocks = F.least(F.ceil(F.col("n") / GROUP_BLOCK), F.greatest(F.lit(GROUP_BLOCKS), F.ceil(F.col("n") / BLOCK))).cast("int")
+    linked = components(links).toDF("id", "label")
+    member = groups.join(sizes, "grp").withColumn("blocks", blocks).join(distinct.select("id", "fp"), "id").join(sets, "id").join(linked, "id", "left")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = member.select("grp", "id", F.coalesce("label", "id").alias("label"), "fp", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = rows.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "label", "fp", "shingles")
+    return dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(lambda batches: _cross(batches, least), "a long, b long")
+
+
 def _with_hash(docs: DataFrame) -> DataFrame:
     """``docs`` and _h, the hash of the text's words."""
 
@@ -225,7 +268,9 @@ def keep_one_of_each_group(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     # One text of each id: a row of its least doc_id and its words.
     source = hashed.select("doc_id", "text", "_h").join(involved, hashed["doc_id"].eqNullSafe(involved["least"]) & (hashed["_h"] == involved["h"]))
     sets = cut(_shingle_sets(source).dropDuplicates(["id"]), "shingle-sets")
-    groups = components(_verified(pairs, sets, least)).withColumnRenamed("node", "id")
+    links = cut(_verified(pairs.select("a", "b"), sets, least), "near-links")
+    more = _group_links(pairs, links, distinct, sets, least)
+    groups = components(links.union(more)).withColumnRenamed("node", "id")
     labelled = distinct.select("id", "h", "least").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = F.min_by("h", F.struct(F.col("least").isNull(), "least", "h")).alias("h")
     kept = cut(labelled.groupBy("component").agg(first, F.min("least").alias("keep_id")).select("keep_id", "h"), "kept")

@@ -84,3 +84,11 @@ def test_removed_spans(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {r.doc_id: (r.text, r.n_chars) for r in d.remove_spans(docs, bench).collect()}
     assert got == {1: ("keep this, . And that", 21), 2: ("", 0), 3: ("clean Text", 10), 4: (None, None)}
+
+
+def test_what_a_cut_brings_together_is_scanned_again(spark):
+    one = "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10"
+    docs = spark.createDataFrame([(1, f"x b1 b2 b3 b4 b5 {one} b6 b7 b8 b9 b10 y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, one), (2, "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10")], "item_id long, text string")
+    (row,) = d.remove_spans(docs, bench).collect()
+    assert row.text.split() == ["x", "y"]

@@ -78,6 +78,7 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
     assert 0 in whole and len(whole) <= 3
     monkeypatch.setattr(near_text, "ALL_PAIRS", 4)
     monkeypatch.setattr(near_text, "BLOCK", 8)
+    monkeypatch.setattr(near_text, "GROUP_BLOCK", 8)
     assert {r.doc_id for r in near_text.keep_one_of_each_group(docs).collect()} == whole
 
 
