@@ -7,16 +7,30 @@ import resource
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from namewright.session import cut
 
-def nearest_rank(values: DataFrame, value: str, quantiles: dict[str, float], keys: list[str]) -> DataFrame:
-    """Nearest-rank percentiles: the value at place round((n - 1) q) of the sorted ones, halves away from zero.
 
-    Percentiles of a group need its order, not its rows in one place: distinct values are counted first, and only their counts
-    are summed in order. Null values are left out.
+def running_count(counted: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
+    """``counted`` with _upto (the count of its key's values up to its own) and _n (its key's whole count).
+
+    Rows are range-partitioned by key and value, and only the sums of each key in each partition are put in order, so that a
+    key with a large share of all rows is not one task's work.
     """
+    ranged = cut(counted.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum(count).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_at"), F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(*keys)).alias("_n"))
+    same = F.col("_part") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    within = F.sum(count).over(Window.partitionBy(*keys, "_part").orderBy(value))
+    return ranged.withColumn("_within", within).join(sums, same).withColumn("_upto", F.col("_before") + F.col("_within")).select(*counted.columns, "_upto", "_n")
+
+
+def nearest_rank(values: DataFrame, value: str, quantiles: dict[str, float], keys: list[str]) -> DataFrame:
+    """Nearest-rank percentiles: the value at place round((n - 1) q) of the sorted ones, halves up. Nulls are left out."""
     counted = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    upto = counted.withColumn("_upto", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    upto = running_count(counted, keys, value, "_c")
     at = {name: F.floor((F.col("_n") - 1) * q + 0.5) for name, q in quantiles.items()}
     picks = [F.min(F.when(F.col("_upto") > place, F.col(value))).alias(name) for name, place in at.items()]
     return upto.groupBy(*keys).agg(*picks)

@@ -59,7 +59,7 @@ def text_decoy(spark, sf_dir):
 
 def indel_ratio_pairs(spark, sf_dir):
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("a")).crossJoin(F.broadcast(names.select(F.col("p_name").alias("b"))))
+    pairs = names.select(F.col("p_name").alias("a")).crossJoin(names.select(F.col("p_name").alias("b")))
     scored = pairs.withColumn("lcs", sim.lcs_column(F.col("a"), F.col("b")).cast("long"))
     ratio = sim.ratio_column(F.col("lcs"), F.col("a"), F.col("b"))
     return scored.select("a", "b", "lcs", sim.indel_column(F.col("lcs"), F.col("a"), F.col("b")).cast("long").alias("indel"), sim.published_score(ratio).alias("score"))
