@@ -23,32 +23,31 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether the pairs (a, b) are stars already: each a has one b, and no b is an a."""
+    n, nodes = pairs.agg(F.count("*"), F.count_distinct("a")).first()
+    return n == nodes and pairs.join(pairs.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (two long columns a, b); component is the least node reachable.
 
     Alternating large-star and small-star operations: every round is two aggregations by key and two joins, which Spark
     can split where a node has very many neighbours, and each round's edges are written to the shared folder. The number
-    of rounds grows with the logarithm of the largest component. Loops and repeated edges are allowed; an empty table
-    gives an empty result; null ends are dropped.
+    of rounds grows with the logarithm of the largest component; edges that are stars already need none. Loops and
+    repeated edges are allowed; an empty table gives an empty result; null ends are dropped.
     """
     spark = edges.sparkSession
-    edges = edges.toDF("a", "b").where("a <> b").distinct()
-    path, seen = new_folder(spark, "edges"), None
-    edges.write.parquet(path)
+    pairs = edges.toDF("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    path = new_folder(spark, "edges")
+    pairs.write.parquet(path)
     for _ in range(MAX_ROUNDS):
         now = spark.read.schema("a long, b long").parquet(path)
-        small = _star(_star(_both_ways(now), large=True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), large=False)
+        if _settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+        large = _star(_both_ways(now), large=True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         after = new_folder(spark, "edges")
-        small.distinct().write.parquet(after)
-        mark = spark.read.schema("a long, b long").parquet(after).agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        _star(large, large=False).distinct().write.parquet(after)
         remove(spark, path)
         path = after
-        if mark == seen:
-            break
-        seen = mark
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    stars = spark.read.schema("a long, b long").parquet(path)
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
-
-
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

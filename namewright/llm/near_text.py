@@ -228,12 +228,11 @@ def _cross(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _group_links(pairs: DataFrame, links: DataFrame, distinct: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that the forests of large buckets leave out."""
+def _group_links(pairs: DataFrame, linked: DataFrame, distinct: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that the forests of large buckets leave out; linked (id, label) has the components so far."""
     groups = components(pairs.where("large = 1").select("a", "b")).toDF("id", "grp")
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > 2)
     blocks = F.least(F.ceil(F.col("n") / GROUP_BLOCK), F.greatest(F.lit(GROUP_BLOCKS), F.ceil(F.col("n") / BLOCK))).cast("int")
-    linked = components(links).toDF("id", "label")
     member = groups.join(sizes, "grp").withColumn("blocks", blocks).join(distinct.select("id", "fp"), "id").join(sets, "id").join(linked, "id", "left")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = member.select("grp", "id", F.coalesce("label", "id").alias("label"), "fp", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -268,9 +267,9 @@ def keep_one_of_each_group(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     # One text of each id: a row of its least doc_id and its words.
     source = hashed.select("doc_id", "text", "_h").join(involved, hashed["doc_id"].eqNullSafe(involved["least"]) & (hashed["_h"] == involved["h"]))
     sets = cut(_shingle_sets(source).dropDuplicates(["id"]), "shingle-sets")
-    links = cut(_verified(pairs.select("a", "b"), sets, least), "near-links")
-    more = _group_links(pairs, links, distinct, sets, least)
-    groups = components(links.union(more)).withColumnRenamed("node", "id")
+    linked = cut(components(_verified(pairs.select("a", "b"), sets, least)).toDF("id", "label"), "linked")
+    more = _group_links(pairs, linked, distinct, sets, least)
+    groups = components(linked.union(more.toDF("id", "label"))).withColumnRenamed("node", "id")
     labelled = distinct.select("id", "h", "least").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = F.min_by("h", F.struct(F.col("least").isNull(), "least", "h")).alias("h")
     kept = cut(labelled.groupBy("component").agg(first, F.min("least").alias("keep_id")).select("keep_id", "h"), "kept")
