@@ -11,6 +11,12 @@ Equal texts are merged before. All candidate pairs of a bucket with few texts ar
 spanning forest of its closest pairs are; then all the texts that such forests connect are dealt as one group over pairs of
 blocks, where every pair within the distance whose ends are not linked yet is verified beside the shingle sets themselves, so
 that no row per pair is made. Very large buckets are split into blocks too.
+
+These keys are a first pass, which links most and may lose some. A second pass over all distinct texts loses none: if two
+sets of shingles, in one order for all texts, have a similarity of t, they share one of the first n - ceil(t n) + 1 of each.
+The order is by the number of texts in a sample that hold a shingle, and then by hash, so that common shingles come last; any
+order is right, it decides only how many candidates there are. Texts join on the shingles of these prefixes; pairs of one
+component of the first pass, or whose sizes or places in the order rule the similarity out, are left out, the others verified.
 """
 
 from __future__ import annotations
@@ -38,6 +44,10 @@ ALL_PAIRS, BLOCK = 24, 2048
 #: Texts of one block of a group, for few blocks; groups of more than GROUP_BLOCKS blocks have larger ones, up to BLOCK texts.
 GROUP_BLOCK, GROUP_BLOCKS = 128, 32
 SEED = 42
+#: One text in SAMPLE is counted for the order of the shingles; of those in LEAST_COUNT texts or more at most HOT are held.
+SAMPLE, LEAST_COUNT, HOT = 16, 3, 200_000
+#: Bits of the parity sketch: two sets differ in at least as many elements as their sketches do in bits.
+SKETCH = 1024
 
 
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
@@ -192,8 +202,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), run, "a long, b long")
 
 
-def _cross(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, x, y, side, id, label, fp, shingles) sorted by grp, x, y -> links between different labels."""
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, SKETCH / 64) parity sketches of sets of hashes."""
+    bits = np.stack([np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1 for s in sets]).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _possible(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(possible, distance) of rows and cols: False only for pairs whose sizes or sketches show that they are not similar."""
+    sketches, n = _sketches(sets), np.array([len(s) for s in sets])
+    distance = np.zeros((len(rows), len(cols)), np.int64)
+    for word in range(SKETCH // 64):
+        distance += np.bitwise_count(sketches[rows, word][:, None] ^ sketches[cols, word])
+    one, two = n[rows][:, None], n[cols][None, :]
+    sizes = np.minimum(one, two) >= least * np.maximum(one, two) - 1e-9
+    return sizes & (distance <= (one + two) * (1 - least) / (1 + least) + 1e-9), distance
+
+
+def _cross(batches: Iterator[pa.RecordBatch], least: float, exact: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, x, y, side, id, label, fp, shingles) sorted by grp, x, y -> links between different labels. Exact: of all
+    pairs, and not only of those within MOST_BITS."""
     keys = ["grp", "x", "y"]
     for table in _groups(batches, keys):
         columns = [table.column(k).to_numpy() for k in keys]
@@ -208,8 +236,15 @@ def _cross(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             label = np.unique(labels[lo:hi], return_inverse=True)[1]
             rows = np.flatnonzero(side[lo:hi] == 0)
             cols = np.flatnonzero(side[lo:hi] == 1) if side[lo:hi].any() else rows
-            distance = np.bitwise_count(f0[lo:hi][rows][:, None] ^ f0[lo:hi][cols]) + np.bitwise_count(f1[lo:hi][rows][:, None] ^ f1[lo:hi][cols])
-            i, j = np.nonzero((distance <= MOST_BITS) & (label[rows][:, None] != label[cols][None, :]))
+            differ = label[rows][:, None] != label[cols][None, :]
+            if not differ.any():
+                continue
+            if exact:
+                near, distance = _possible([np.frombuffer(v.as_py(), np.uint64) for v in sets[lo:hi]], rows, cols, least)
+            else:
+                distance = np.bitwise_count(f0[lo:hi][rows][:, None] ^ f0[lo:hi][cols]) + np.bitwise_count(f1[lo:hi][rows][:, None] ^ f1[lo:hi][cols])
+                near = distance <= MOST_BITS
+            i, j = np.nonzero(near & differ)
             order = np.argsort(distance[i, j], kind="stable")
             opened: dict[int, np.ndarray] = {}
             for a, b in zip(rows[i[order]].tolist(), cols[j[order]].tolist(), strict=True):
@@ -228,16 +263,159 @@ def _cross(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _group_links(pairs: DataFrame, linked: DataFrame, distinct: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _group_links(pairs: DataFrame, linked: DataFrame, distinct: DataFrame, sets: DataFrame, least: float, exact: bool = False) -> DataFrame:
     """Links (a, b) that the forests of large buckets leave out; linked (id, label) has the components so far."""
     groups = components(pairs.where("large = 1").select("a", "b")).toDF("id", "grp")
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > 2)
+    # The edges of a first pass are verified already, so groups of two have no other pair.
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > (1 if exact else 2))
     blocks = F.least(F.ceil(F.col("n") / GROUP_BLOCK), F.greatest(F.lit(GROUP_BLOCKS), F.ceil(F.col("n") / BLOCK))).cast("int")
     member = groups.join(sizes, "grp").withColumn("blocks", blocks).join(distinct.select("id", "fp"), "id").join(sets, "id").join(linked, "id", "left")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = member.select("grp", "id", F.coalesce("label", "id").alias("label"), "fp", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = rows.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "label", "fp", "shingles")
-    return dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(lambda batches: _cross(batches, least), "a long, b long")
+    return dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(lambda batches: _cross(batches, least, exact), "a long, b long")
+
+
+class ShingleOrder:
+    """One order of all shingles: by their count in the sample, 0 where it is not held, and then by hash."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
+        at = np.argsort(shingles)
+        self.shingles, self.counts = shingles[at], counts[at]
+
+    def count(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, hashes), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == hashes, self.counts[at], 0)
+
+    def prefix(self, hashes: np.ndarray, least: float) -> np.ndarray:
+        """The first n - ceil(least n) + 1 of a text's sorted hashes in this order."""
+        n = len(hashes)
+        return hashes[np.argsort(self.count(hashes), kind="stable")[: n - int(np.ceil(least * n - 1e-9)) + 1]]
+
+
+def _shingle_order(docs: DataFrame) -> ShingleOrder:
+    """The order from the different texts of a sample. The driver holds at most HOT shingles."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_hashes(t).view(np.int64) for t in texts(batch)]
+        return pa.record_batch([pa.array(np.concatenate(found))], names=["s"])
+
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
+    counted = cut(arrow_map(sample, run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT), "shingle-counts")
+    enough, total = 0, 0
+    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r["n"]):
+        total += r["m"]
+        if total > HOT:
+            break
+        enough = r["n"]
+    rows = counted.where(F.col("n") >= (enough or 1 << 62)).toArrow()
+    return ShingleOrder(rows["s"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64))
+
+
+def _prefixes(docs: DataFrame, order, least: float) -> DataFrame:
+    """(h, prefix) of each different text: its number of shingles and the hashes of its prefix, packed."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, packed = [], []
+        for t in texts(batch):
+            own = shingle_hashes(t)
+            hashes.append(xxhash.xxh3_128_digest(b" ".join(word_list(t))))
+            packed.append(np.concatenate([np.array([len(own)], np.uint64), order.value.prefix(own, least)]).tobytes())
+        return pa.record_batch([pa.array(hashes, pa.binary()), pa.array(packed, pa.binary())], names=["h", "prefix"])
+
+    return arrow_map(docs.select("text"), run, "h binary, prefix binary").groupBy("h").agg(F.first("prefix").alias("prefix"))
+
+
+def _sharing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, xy, id, label, place) sorted by key, xy -> pairs (a, b, large) of different labels that can be similar.
+
+    A large bucket gives all of these pairs if they are few, or else the edges of a spanning forest of them, as large.
+    """
+    for table in _groups(batches, ["key", "xy"]):
+        key, xy, ids, label, place = (table.column(c).to_numpy() for c in ("key", "xy", "id", "label", "place"))
+        n, at, side = place >> 32, (place & 0xFFFFFFFF) >> 1, place & 1
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (xy[1:] != xy[:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(key)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+
+        def can(i, j, n=n, at=at, label=label):
+            """By size, and by what can follow if this shingle is the first that both have."""
+            fits = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+            return fits & (label[i] != label[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= (n[i] + n[j]) * least / (1 + least) - 1e-9)
+
+        a, b, large = [], [], []
+        few = np.flatnonzero((sizes[group] > 1) & (sizes[group] <= ALL_PAIRS))
+        for lag in range(1, ALL_PAIRS):
+            i, j = few[:-lag], few[lag:]
+            same = group[i] == group[j]
+            if not same.any():
+                break
+            i, j = i[same], j[same]
+            # Two blocks of one key: their pairs lie between the sides, those within are of other groups.
+            keep = can(i, j) & ((side[i] != side[j]) | (xy[i] >> 32 == (xy[i] & 0xFFFFFFFF)))
+            a.append(i[keep])
+            b.append(j[keep])
+            large.append(np.zeros(keep.sum(), np.int64))
+        for g in np.flatnonzero(sizes > ALL_PAIRS):
+            here = np.arange(starts[g], starts[g] + sizes[g])
+            if (label[here] == label[here[0]]).all():
+                continue
+            within = xy[here[0]] >> 32 == (xy[here[0]] & 0xFFFFFFFF)
+            rows, cols = (here, here) if within else (here[side[here] == 0], here[side[here] == 1])
+            tree, pairs, edges, made = np.arange(sizes[g]), [], [], 0
+            for r in rows.tolist():
+                near = cols[can(r, cols)]
+                if within:
+                    near = near[near > r]
+                if not len(near):
+                    continue
+                made += len(near)
+                if made <= 4 * sizes[g]:
+                    pairs.append(np.column_stack([np.full(len(near), r), near]))
+                roots, first = np.unique(tree[near - starts[g]], return_index=True)
+                other = roots != tree[r - starts[g]]
+                if other.any():
+                    edges.append(np.column_stack([np.full(other.sum(), r), near[first[other]]]))
+                    tree[np.isin(tree, roots)] = tree[r - starts[g]]
+            if made:
+                found = np.concatenate(pairs if made <= 4 * sizes[g] else edges)
+                a.append(found[:, 0])
+                b.append(found[:, 1])
+                large.append(np.full(len(found), int(made > 4 * sizes[g])))
+        if a:
+            a, b = ids[np.concatenate(a)], ids[np.concatenate(b)]
+            out = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b), np.concatenate(large)]), axis=0)
+            if len(out):
+                yield pa.record_batch([pa.array(out[:, k]) for k in range(3)], names=["a", "b", "large"])
+
+
+def _all_candidates(docs: DataFrame, distinct: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, large) of the ids of distinct texts, with every similar pair that ``groups`` (id, component) leaves apart."""
+    held = docs.sparkSession.sparkContext.broadcast(_shingle_order(docs))
+
+    def expand(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = [np.frombuffer(v.as_py(), np.uint64) for v in batch.column(2)]
+        keys, sizes = np.concatenate([p[1:] for p in packed]), np.array([len(p) - 1 for p in packed])
+        row = np.repeat(np.arange(len(packed)), sizes)
+        place = np.repeat(np.array([p[0] for p in packed]).astype(np.int64), sizes) << 32 | (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) << 1
+        ids, label = (batch.column(k).to_numpy()[row] for k in (0, 1))
+        # A key of very many texts, as the sample has it, is dealt over pairs of blocks.
+        blocks = np.maximum(1, -(-SAMPLE * held.value.count(keys) // BLOCK))
+        own = (_mixed(ids.view(np.uint64), 1) % blocks.astype(np.uint64)).astype(np.int64)
+        at = np.repeat(np.arange(len(keys)), blocks)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        own = own[at]
+        xy = np.minimum(own, other) << 32 | np.maximum(own, other)
+        return pa.record_batch([pa.array(keys.view(np.int64)[at]), pa.array(xy), pa.array(ids[at]), pa.array(label[at]), pa.array(place[at] | (own > other))], names=["key", "xy", "id", "label", "place"])
+
+    known = distinct.select("id", "h").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "h")
+    rows = arrow_map(known.join(_prefixes(docs, held, least), "h").select("id", "label", "prefix"), expand, "key long, xy long, id long, label long, place long")
+    found = rows.repartition("key", "xy").sortWithinPartitions("key", "xy").mapInArrow(lambda batches: _sharing(batches, least), "a long, b long, large long")
+    return found.groupBy("a", "b").agg(F.max("large").alias("large"))
 
 
 def _with_hash(docs: DataFrame) -> DataFrame:
@@ -261,15 +439,24 @@ def keep_one_of_each_group(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     marked = cut(_mark(docs), "wide-marks")
     distinct = marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
     distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
-    pairs = cut(_candidates(distinct), "near-pairs")
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(distinct.select("id", "least", "h"), "id")
     hashed = _with_hash(docs)
-    # One text of each id: a row of its least doc_id and its words.
-    source = hashed.select("doc_id", "text", "_h").join(involved, hashed["doc_id"].eqNullSafe(involved["least"]) & (hashed["_h"] == involved["h"]))
-    sets = cut(_shingle_sets(source).dropDuplicates(["id"]), "shingle-sets")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(distinct.select("id", "least", "h"), "id")
+        # One text of each id: a row of its least doc_id and its words.
+        source = hashed.select("doc_id", "text", "_h").join(involved, hashed["doc_id"].eqNullSafe(involved["least"]) & (hashed["_h"] == involved["h"]))
+        return cut(_shingle_sets(source).dropDuplicates(["id"]), "shingle-sets")
+
+    pairs = cut(_candidates(distinct), "near-pairs")
+    sets = sets_of(pairs)
     linked = cut(components(_verified(pairs.select("a", "b"), sets, least)).toDF("id", "label"), "linked")
     more = _group_links(pairs, linked, distinct, sets, least)
-    groups = components(linked.union(more.toDF("id", "label"))).withColumnRenamed("node", "id")
+    first = cut(components(linked.union(more.toDF("id", "label"))).toDF("id", "component"), "first-groups")
+    pairs = cut(_all_candidates(docs, distinct, first, least), "all-pairs")
+    sets = sets_of(pairs)
+    linked = cut(_verified(pairs.where("large = 0").select("a", "b"), sets, least), "linked")
+    more = _group_links(pairs, first.toDF("id", "label"), distinct, sets, least, exact=True)
+    groups = components(first.toDF("a", "b").union(linked).union(more)).withColumnRenamed("node", "id")
     labelled = distinct.select("id", "h", "least").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = F.min_by("h", F.struct(F.col("least").isNull(), "least", "h")).alias("h")
     kept = cut(labelled.groupBy("component").agg(first, F.min("least").alias("keep_id")).select("keep_id", "h"), "kept")

@@ -100,6 +100,56 @@ def test_recall_at_the_limit():
     assert found >= 0.92 * 150
 
 
+def isolated_pairs(rng):
+    """Texts in pairs at a similarity of 0.80 to 0.85: long ones with changed words, and 8 words that gain one."""
+    out = []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        other = list(words)
+        for at in rng.sample(range(0, 400, 8), 8):
+            other[at] = f"x{rng.randrange(10**6)}"
+        out += [" ".join(words), " ".join(other)]
+        short = [f"s{k}t{i}" for i in range(9)]
+        out += [" ".join(short[:8]), " ".join(short)]
+    return out
+
+
+def templated(rng):
+    """Texts that share most of a passage: very common shingles, pairs on both sides of the limit."""
+    base = [f"b{i}" for i in range(120)]
+    out = []
+    for _ in range(90):
+        words = list(base)
+        for at in rng.sample(range(0, 120, 5), rng.choice([1, 2, 3, 4])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in near_text.keep_one_of_each_group(docs).collect())
+
+
+@pytest.mark.parametrize("make", [isolated_pairs, templated])
+def test_no_pair_is_lost_at_the_limit(spark, make):
+    texts = make(random.Random(11))
+    assert kept_of(spark, texts) == sorted(min(g) for g in brute_groups(list(enumerate(texts))))
+
+
+@pytest.mark.parametrize("make", [isolated_pairs, templated])
+def test_the_exact_pass_alone_loses_no_pair(spark, monkeypatch, make):
+    """Without candidates of the first pass, every shingle counted, and common ones dealt over blocks."""
+    texts = make(random.Random(12))[:240]
+    none = spark.createDataFrame([], "a long, b long, large long")
+    for changed in ({"SAMPLE": 1, "BLOCK": 8, "GROUP_BLOCK": 8}, {"SAMPLE": 1, "HOT": 0}):
+        with monkeypatch.context() as m:
+            m.setattr(near_text, "_candidates", lambda distinct: none)
+            for name, value in changed.items():
+                m.setattr(near_text, name, value)
+            assert kept_of(spark, texts) == sorted(min(g) for g in brute_groups(list(enumerate(texts))))
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     """Each stage's input and output on a small table."""
