@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namewright.llm.common import read
+from namewright.session import cut
 
 WINDOW = 10
 #: Item characters of one automaton. More items than that are dealt over several automata, each with a pass of its own.
@@ -183,11 +184,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_char
     nothing.
     """
     spark = docs.sparkSession
+    return _scanned(docs, [spark.sparkContext.broadcast(a) for a in _automata(benchmark, window, shard_chars)])
+
+
+def _scanned(docs: DataFrame, automata: list) -> DataFrame:
+    """``scan`` with broadcast automata."""
     kind = "struct<n_words:long,spans:array<struct<a:int,b:int>>,items:array<long>>"
     parts = []
     out = docs
-    for k, automaton in enumerate(_automata(benchmark, window, shard_chars)):
-        held = spark.sparkContext.broadcast(automaton)
+    for k, held in enumerate(automata):
 
         def run(batches, held=held):
             for batch in batches:
@@ -225,12 +230,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return found.select("doc_id", F.col("hits.n_words").alias("n_words"), hit.alias("n_hit"), F.col("hits.items").alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def _gone(n: int, spans: list[tuple[int, int]], max_words: int, max_coverage: float) -> list[tuple[int, int]]:
+    """The spans beyond the limits, of a text of n words."""
+    covered = sum(b - a for a, b in spans)
+    return [(a, b) for a, b in spans if b - a > max_words or covered > max_coverage * n]
+
+
 def cleaned(automaton: ItemAutomaton, text: str | None, max_words: int, max_coverage: float) -> str | None:
     """The text without spans beyond the limits; what a cut brings together is scanned again."""
     while text:
         n, spans, _ = automaton.scan(text)
-        covered = sum(b - a for a, b in spans)
-        gone = [(a, b) for a, b in spans if b - a > max_words or covered > max_coverage * n]
+        gone = _gone(n, spans, max_words, max_coverage)
         if not gone:
             break
         text = _without(text, gone)
@@ -240,25 +250,51 @@ def cleaned(automaton: ItemAutomaton, text: str | None, max_words: int, max_cove
 def remove_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW - 1, max_coverage: float = 0.5, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``docs`` without the passages that benchmark items share: hit spans of more than ``max_words`` words go.
 
-    Where more than ``max_coverage`` of the words are hit (by one automaton's items), every hit span goes whatever its length.
+    Where more than ``max_coverage`` of the words are hit, every hit span goes whatever its length. The result does not depend
+    on the number of automata: each round of cuts is decided on the spans of all, and changed texts go through all again.
     Documents keep their row; one of which nothing is left gets an empty text. n_chars, if there, is counted anew.
     """
     spark = docs.sparkSession
+    automata = [spark.sparkContext.broadcast(a) for a in _automata(benchmark, window, shard_chars)]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs
-    for automaton in _automata(benchmark, window, shard_chars):
-        held = spark.sparkContext.broadcast(automaton)
 
-        def clean(batches, held=held):
-            for batch in batches:
-                at = batch.schema.get_field_index("text")
-                new = pa.array([cleaned(held.value, t.as_py(), max_words, max_coverage) for t in batch.column(at)], pa.string())
-                yield pa.record_batch([new if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+    def clean(batches, held=automata[0]):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            new = pa.array([cleaned(held.value, t.as_py(), max_words, max_coverage) for t in batch.column(at)], pa.string())
+            yield pa.record_batch([new if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-        out = out.mapInArrow(clean, fields)
+    out = docs.mapInArrow(clean, fields) if len(automata) == 1 else _cleaned_in_rounds(docs, automata, max_words, max_coverage)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 
+def _cleaned_in_rounds(docs: DataFrame, automata: list, max_words: int, max_coverage: float) -> DataFrame:
+    """``cleaned`` by several automata: a round for all texts, and further ones for those that the last one changed."""
+
+    def clean(batches):
+        for batch in batches:
+            at, hits = (batch.schema.get_field_index(c) for c in ("text", "hits"))
+            new = []
+            for text, hit in zip(batch.column(at), batch.column(hits), strict=True):
+                text, hit = text.as_py(), hit.as_py()
+                gone = _gone(hit["n_words"], [(s["a"], s["b"]) for s in hit["spans"]], max_words, max_coverage)
+                new.append((_without(text, gone) if gone else text, bool(gone)))
+            columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "hits"}
+            columns["text"] = pa.array([t for t, _ in new], pa.string())
+            yield pa.record_batch([*columns.values(), pa.array([c for _, c in new], pa.bool_())], names=[*columns, "changed"])
+
+    # Own names, which the columns of the rounds cannot clash with.
+    todo = docs.toDF(*("text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields)
+    done = None
+    while True:
+        after = cut(_scanned(todo, automata).mapInArrow(clean, f"{fields}, changed boolean"), "decontaminated")
+        settled, todo = (after.where(c).drop("changed") for c in (~F.col("changed"), F.col("changed")))
+        done = settled if done is None else done.union(settled)
+        if todo.isEmpty():
+            return done.toDF(*docs.columns)
+
+
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
     raw = text.encode("utf-8", "surrogatepass")
     places = [m.span() for m in _WORD.finditer(raw.translate(_NORMAL))]

@@ -92,3 +92,26 @@ def test_what_a_cut_brings_together_is_scanned_again(spark):
     bench = spark.createDataFrame([(1, one), (2, "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10")], "item_id long, text string")
     (row,) = d.remove_spans(docs, bench).collect()
     assert row.text.split() == ["x", "y"]
+
+
+def removed(spark, docs, items, **more):
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return sorted((r.doc_id, r.text, r.n_chars) for r in d.remove_spans(df, bench, **more).collect())
+
+
+def test_shards_remove_the_same(spark):
+    """Passages inside passages, spans that only all shards together make long or cover half of a text."""
+    rng = random.Random(4)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(rng.choice([3, 5, 9, 10, 14])))) for i in range(24)]
+    docs = []
+    for n in range(60):
+        words = [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(12))]
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice(items)[1].split()
+        docs.append((n, " ".join(words)))
+    for more in ({}, {"max_words": 12}):
+        whole = removed(spark, docs, items, **more)
+        assert removed(spark, docs, items, shard_chars=250, **more) == whole
+        assert any(t != dict(docs)[i] for i, t, _ in whole)
