@@ -230,17 +230,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return found.select("doc_id", F.col("hits.n_words").alias("n_words"), hit.alias("n_hit"), F.col("hits.items").alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _gone(n: int, spans: list[tuple[int, int]], max_words: int, max_coverage: float) -> list[tuple[int, int]]:
-    """The spans beyond the limits, of a text of n words."""
+def _gone(n: int, spans: list[tuple[int, int]], max_words: int, max_coverage: float, window: int) -> list[tuple[int, int]]:
+    """The spans beyond the limits, of a text of n words. One below the window can only be of whole shorter items, and goes."""
     covered = sum(b - a for a, b in spans)
-    return [(a, b) for a, b in spans if b - a > max_words or covered > max_coverage * n]
+    return [(a, b) for a, b in spans if b - a > max_words or b - a < window or covered > max_coverage * n]
 
 
 def cleaned(automaton: ItemAutomaton, text: str | None, max_words: int, max_coverage: float) -> str | None:
     """The text without spans beyond the limits; what a cut brings together is scanned again."""
     while text:
         n, spans, _ = automaton.scan(text)
-        gone = _gone(n, spans, max_words, max_coverage)
+        gone = _gone(n, spans, max_words, max_coverage, automaton.window)
         if not gone:
             break
         text = _without(text, gone)
@@ -250,7 +250,7 @@ def cleaned(automaton: ItemAutomaton, text: str | None, max_words: int, max_cove
 def remove_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW - 1, max_coverage: float = 0.5, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``docs`` without the passages that benchmark items share: hit spans of more than ``max_words`` words go.
 
-    Where more than ``max_coverage`` of the words are hit, every hit span goes whatever its length. The result does not depend
+    So do whole items shorter than a window, each of which is one window, wherever they stand. Where more than ``max_coverage`` of the words are hit, every hit span goes whatever its length. The result does not depend
     on the number of automata: each round of cuts is decided on the spans of all, and changed texts go through all again.
     Documents keep their row; one of which nothing is left gets an empty text. n_chars, if there, is counted anew.
     """
@@ -264,11 +264,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW
             new = pa.array([cleaned(held.value, t.as_py(), max_words, max_coverage) for t in batch.column(at)], pa.string())
             yield pa.record_batch([new if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    out = docs.mapInArrow(clean, fields) if len(automata) == 1 else _cleaned_in_rounds(docs, automata, max_words, max_coverage)
+    out = docs.mapInArrow(clean, fields) if len(automata) == 1 else _cleaned_in_rounds(docs, automata, max_words, max_coverage, window)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 
-def _cleaned_in_rounds(docs: DataFrame, automata: list, max_words: int, max_coverage: float) -> DataFrame:
+def _cleaned_in_rounds(docs: DataFrame, automata: list, max_words: int, max_coverage: float, window: int) -> DataFrame:
     """``cleaned`` by several automata: a round for all texts, and further ones for those that the last one changed."""
 
     def clean(batches):
@@ -277,7 +277,7 @@ def _cleaned_in_rounds(docs: DataFrame, automata: list, max_words: int, max_cove
             new = []
             for text, hit in zip(batch.column(at), batch.column(hits), strict=True):
                 text, hit = text.as_py(), hit.as_py()
-                gone = _gone(hit["n_words"], [(s["a"], s["b"]) for s in hit["spans"]], max_words, max_coverage)
+                gone = _gone(hit["n_words"], [(s["a"], s["b"]) for s in hit["spans"]], max_words, max_coverage, window)
                 new.append((_without(text, gone) if gone else text, bool(gone)))
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "hits"}
             columns["text"] = pa.array([t for t, _ in new], pa.string())

@@ -115,3 +115,13 @@ def test_shards_remove_the_same(spark):
         whole = removed(spark, docs, items, **more)
         assert removed(spark, docs, items, shard_chars=250, **more) == whole
         assert any(t != dict(docs)[i] for i, t, _ in whole)
+
+
+def test_whole_short_items_are_removed(spark):
+    items = [(1, "alpha beta gamma"), (2, "nine words one two three four five six seven"), (3, "solo"), (4, " ".join(f"long{i}" for i in range(12)))]
+    around = " ".join(f"x{i}" for i in range(40))
+    docs = [(i, f"{around} {t} {around}") for i, t in items] + [(5, f"{around} alpha beta {around} long0 long1 long2")]
+    for more in ({}, {"shard_chars": 60}):
+        got = {i: t.split() for i, t, _ in removed(spark, docs, items, **more)}
+        assert all(got[i] == around.split() * 2 for i in range(1, 5))
+        assert got[5] == docs[-1][1].split()
