@@ -90,7 +90,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def lcs_column(one: Column, other: Column) -> Column:
-    """The LCS length for ``one`` of at most MAX_SQL_CHARS characters. Masking each step keeps the sum below overflow."""
+    """The LCS length. Masking each step keeps the sum below overflow for ``one`` of at most MAX_SQL_CHARS characters; a longer
+    one goes through the table of lengths, a row for each letter of ``other``."""
     letters = F.filter(F.split(other, ""), lambda c: c != "")
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     full = bit(F.length(one)) - 1
@@ -100,7 +101,19 @@ def lcs_column(one: Column, other: Column) -> Column:
     def step(s: Column, c: Column) -> Column:
         return let(s.bitwiseAND(bits(c)), lambda u: (s + u).bitwiseOR(s - u).bitwiseAND(full))
 
-    return F.aggregate(letters, full, step, lambda s: F.bit_count(F.bitwise_not(s).bitwiseAND(full)))
+    short = F.aggregate(letters, full, step, lambda s: F.bit_count(F.bitwise_not(s).bitwiseAND(full)))
+    none = F.transform(F.sequence(F.lit(0), F.length(one)), lambda _: F.lit(0))
+
+    def row(above: Column, c: Column) -> Column:
+        def add(done: Column, i: Column) -> Column:
+            same = F.substring(one, i, F.lit(1)) == c
+            best = F.when(same, F.get(above, i - 1) + 1).otherwise(F.greatest(F.get(above, i), F.get(done, i - 1)))
+            return F.concat(done, F.array(best))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(one)), F.array(F.lit(0)), add)
+
+    long = F.aggregate(letters, none, row, lambda r: F.get(r, F.length(one)))
+    return F.when(F.length(one) > MAX_SQL_CHARS, long).otherwise(short)
 
 
 def indel_column(lcs: Column, one: Column, other: Column) -> Column:

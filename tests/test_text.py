@@ -114,3 +114,15 @@ def test_column_form_equals_kernel(spark):
 def test_published_score(spark):
     df = spark.createDataFrame([(96.55172413793103,), (92.85714285714286,), (100.0,)], "x double")
     assert [r[0] for r in df.select(sim.published_score(F.col("x"))).collect()] == [96.5517, 92.8571, 100.0]
+
+
+def test_lcs_column_of_long_texts(spark):
+    import random
+
+    from namewright.functions import similarity
+
+    rng = random.Random(6)
+    rows = [("".join(rng.choice("abcd") for _ in range(n)), "".join(rng.choice("abcd") for _ in range(m))) for n in (0, 5, 61, 62, 63, 64, 65, 130) for m in (0, 7, 63, 90)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", similarity.lcs_column(df["a"], df["b"]).alias("n")).collect()
+    assert all(r.n == similarity.lcs_length(r.a, r.b) for r in got) and len(got) == len(rows)
