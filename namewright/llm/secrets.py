@@ -35,11 +35,15 @@ RULES = [
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,64}PRIVATE KEY-----"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 ]
 
 MOST_STRINGS = 16
+#: Java's engine goes a call deeper for each repetition of a group; a repeat of one character is a loop.
+MOST_GROUP_REPEATS = 256
+#: Matches of a text whose spans one step of the outer scan gathers.
+SPAN_BLOCK = 256
 
 
 def _exact(node) -> set[str] | None:
@@ -123,6 +127,26 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return sorted(sorted(b) for b in found if not any(o < b for o in found))
 
 
+def check_rule(rule: Rule) -> None:
+    """Raise ValueError for a pattern whose depth of recursion would grow with the text."""
+
+    def walk(nodes) -> None:
+        for node in nodes:
+            op, arg = str(node[0]), node[1]
+            if op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                one = len(arg[2]) == 1 and str(arg[2][0][0]) in ("LITERAL", "NOT_LITERAL", "IN", "ANY")
+                if not one and int(arg[1]) > MOST_GROUP_REPEATS:
+                    raise ValueError(f"rule {rule.kind} repeats a group without a bound of at most {MOST_GROUP_REPEATS}; repeat a class of characters")
+                walk(arg[2])
+            elif op == "SUBPATTERN":
+                walk(arg[3])
+            elif op == "BRANCH":
+                for branch in arg[1]:
+                    walk(branch)
+
+    walk(regex_parser.parse(rule.pattern))
+
+
 # --- DataFrame operators ----------------------------------------------------------------------------------------
 
 
@@ -151,9 +175,11 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Spans (start, kind's place, end) of the rule's matches in code points, leftmost first and non-overlapping.
 
-    Splitting at the same pattern gives the texts between the matches, whose lengths place them.
+    Splitting at the same pattern gives the texts between the matches, whose lengths place them. The running sum goes over
+    blocks of matches, since adding to an array copies it.
     """
-    empty = F.array().cast("array<struct<start:long,place:int,end:long>>")
+    kind = "array<struct<start:long,place:int,end:long>>"
+    empty = F.array().cast(kind)
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     parts = F.arrays_zip(
         F.transform(F.split(text, rule.pattern, -1), lambda g: F.length(g)).alias("gap"),
@@ -165,19 +191,29 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         start = state["at"] + part["gap"]
         end = start + F.coalesce(part["size"], F.lit(0))
         span = F.struct(start.alias("start"), F.lit(order).alias("place"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(part["own"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        spans = F.when(part["own"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"), state["done"].alias("done"))
+
+    def block(state: Column, first: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), empty.alias("spans"), state["done"].alias("done"))
+        join = lambda s: F.struct(s["at"].alias("at"), F.concat(s["done"], F.array(s["spans"])).alias("done"))
+        return F.aggregate(F.slice(parts, first, SPAN_BLOCK), start, step, join)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda s: s["spans"])).otherwise(empty)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("done"))
+    firsts = F.sequence(F.lit(1), F.size(parts), F.lit(SPAN_BLOCK))
+    return F.when(F.size(found) > 0, F.flatten(F.aggregate(firsts, start, block, lambda s: s["done"]))).otherwise(empty)
 
 
 def scan_secrets(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(doc_id, spans): every rule's spans in each whole text, by start and then rule.
 
-    Defined cases: null texts count as empty; repeated rows stay repeated; rows that share a doc_id, or have none, share
+    Defined cases: null texts count as empty; whole texts are scanned whatever their length, and a rule that would recurse by it
+    is refused with ValueError; repeated rows stay repeated; rows that share a doc_id, or have none, share
     their candidates, which only means more verification; an empty table gives no rows; other columns are ignored.
     """
     rules = rules or RULES
+    for rule in rules:
+        check_rule(rule)
     indexed = [r for r in rules if trigram_query(r.pattern)]
     index = cut(trigram_index(docs, indexed), "postings")
     found = candidates(index, indexed).withColumnRenamed("doc_id", "found_id")

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from namewright.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -51,6 +53,19 @@ def test_edges_of_the_input(spark, tmp_path):
     check(spark, tmp_path, rows)
 
 
+def test_long_texts_that_tempt_every_rule(spark, tmp_path):
+    long = ["-----BEGIN " + "AB " * 20_000 + "PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----" + " " * 1_000_000, "token" + " " * 500_000 + "=" + " " * 500_000 + "abcdefgh", "password=" + "a/" * 500_000, "AKIA" + "A1" * 500_000, "0f" * 500_000, "ghp_" + "a" * 1_000_000, "-----BEGIN " * 90_000, "token=abcdef " * 3_000]
+    check(spark, tmp_path, list(enumerate(long)))
+
+
+def test_rules_that_would_recurse_are_refused(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for pattern in ("a(?:bc)*d", "(x|y)+", "(?:[a-z]+ )+key"):
+        with pytest.raises(ValueError):
+            secrets.scan_secrets(docs, [secrets.Rule("own", pattern)])
+    assert secrets.scan_secrets(docs, [secrets.Rule("own", "(?:ab){1,9}[a-z]*")]).count() == 1
+
+
 def test_plans_hold_no_python(spark, sf_dir):
     plan = secrets.op3_secrets(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
