@@ -10,15 +10,20 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namewright.llm.common import read
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters, but for signs that the class of words has too, such as ² or ½.
+_RUN = re.compile(r"[^\W\d_]+")
+#: Characters of the texts that are labelled at once.
+LABEL_CHARS = 1 << 21
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 #: About so many whole texts of each language (those of least hash) are learned from; predictions have no such bound.
@@ -48,6 +53,14 @@ _NUMBER = {s: i for i, s in enumerate(SCRIPTS)}
 _LATIN = _NUMBER["Latin"]
 
 
+def letter_words(text: str) -> list[str]:
+    """The runs of letters (Unicode categories L*)."""
+    found = _RUN.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for w in found for letters, run in groupby(w, str.isalpha) if letters]
+
+
 def script_of(word: str) -> int:
     """The number of the script of the word's first letter."""
     first = ord(word[0])
@@ -119,7 +132,7 @@ class LanguageModel:
 
     def label(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its words' lengths and languages (numbers), by Viterbi over all texts of a batch at once."""
-        found = [WORD.findall(t.lower()) for t in texts]
+        found = [letter_words(t.lower()) for t in texts]
         sizes = np.array([len(f) for f in found])
         order = np.argsort(-sizes, kind="stable")
         longest = int(sizes.max(initial=0))
@@ -179,11 +192,12 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> LanguageModel:
     are distributed, and what reaches the driver is a table of slots.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    # Rows per language decide the hash threshold below which about max_rows of them are; no row is sorted. There is a row
+    # for each language of the table, of which a corpus has some hundreds.
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs = sorted(counts)
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS), 0), bool))
-    # Rows per language decide the hash threshold below which about max_rows of them are; no row is sorted.
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(F.get(F.array(*(F.lit(float((1 << 20) * max_rows / counts[x])) for x in langs)), F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1), F.lit(0.0))
     place = {x: i for i, x in enumerate(langs)}
 
@@ -191,7 +205,7 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> LanguageModel:
         grams, scripts = np.zeros((len(langs), BUCKETS), np.int64), np.zeros((len(langs), len(SCRIPTS)), np.int64)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if words := WORD.findall(text.lower()):
+                if words := letter_words(text.lower()):
                     grams[place[lang]] += np.bincount(gram_slots(words)[0], minlength=BUCKETS)
                     scripts[place[lang]] += np.bincount(np.fromiter(map(script_of, words), np.int64, len(words)), np.fromiter(map(len, words), np.int64, len(words)), len(SCRIPTS)).astype(np.int64)
         for i in range(len(langs)):
@@ -214,14 +228,20 @@ def detect(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of each whole text; a span is a language and its number of words.
 
     Defined cases: `und` with score 0 and no spans if the text is null or has no letter; ties go to the language first in
-    code point order; repeated rows stay repeated; an empty table gives no rows; other columns are ignored.
+    code point order; repeated rows stay repeated; an empty table gives no rows; other columns are ignored. Texts are labelled
+    together up to LABEL_CHARS characters; a longer one is labelled alone and takes memory in proportion to its length.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            chars = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                before = int(chars[lo - 1]) if lo else 0
+                n = min(max(1, int(np.searchsorted(chars, before + LABEL_CHARS, side="right")) - lo), 1024)
+                part = batch.slice(lo, n)
+                lo += n
                 found = held.value.predict([t or "" for t in part.column(1).to_pylist()])
                 spans = pa.array([[{"lang": x, "words": n} for x, n in f[2]] for f in found], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())])))
                 yield pa.record_batch([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans], names=["doc_id", "lang_pred", "score", "spans"])

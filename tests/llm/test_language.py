@@ -13,7 +13,7 @@ def test_viterbi_against_a_plain_one(spark, sf_dir):
     texts = [r.text for r in docs.limit(40).collect()]
     texts += [" ".join(t.split()[:30]) + " " + " ".join(u.split()[:30]) for t, u in zip(texts, reversed(texts))]
     for (lengths, labels), text in zip(model.label(texts), texts, strict=True):
-        words = language.WORD.findall(text.lower())
+        words = language.letter_words(text.lower())
         assert lengths.tolist() == [len(w) for w in words]
         s = model.word_scores(words)
         total = sum(s[i, x] for i, x in enumerate(labels)) - model.switch * np.count_nonzero(np.diff(labels))
@@ -43,6 +43,22 @@ def test_spans_of_mixed_text_and_scripts(spark):
     assert other == "ru" and (none, zero, no_spans) == ("und", 0.0, [])
 
 
+def test_signs_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "the house and the garden", "en"), (2, "das haus und der garten", "de")], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    for text in ("²", "½", "①", "Ⅷ", "² ½ ① Ⅷ 12 _"):
+        assert model.predict([text]) == [("und", 0.0, [])]
+    assert language.letter_words("x²y ½garten haus①") == ["x", "y", "garten", "haus"]
+
+
+def test_parts_of_a_batch_change_nothing(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    model = language.train(docs)
+    whole = sorted(map(tuple, language.detect(docs, model).select("doc_id", "lang_pred", "score").collect()))
+    monkeypatch.setattr(language, "LABEL_CHARS", 2000)
+    assert sorted(map(tuple, language.detect(docs, model).select("doc_id", "lang_pred", "score").collect())) == whole
+
+
 def test_edges_of_the_input(spark):
     schema = "doc_id long, text string, lang string, lang_pred string, score int"
     docs = spark.createDataFrame([(1, None, "en", "x", 1), (2, "", "en", "x", 1), (None, "word", "en", "x", 1), (4, "word " * 100_000, "fr", "x", 1), (4, "漢字 漢字", None, "x", 1), (4, "漢字 漢字", None, "x", 1)], schema)
