@@ -23,7 +23,9 @@ from namewright.session import cut
 
 MIN_KEY_CHARS = 20
 MIN_DOCUMENTS = 3
-BATCHES = 3
+#: Line hashes of one batch, and how many batches there are at least and at most (then batches are larger).
+BATCH_LINES = 8_000_000
+LEAST_BATCHES, MOST_BATCHES = 3, 64
 FANOUT = 2
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -118,23 +120,36 @@ class LineRuns:
         self.levels = []
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:
+def _batches(hashes: DataFrame, batches: int | None) -> list[DataFrame]:
+    """Ranges of doc_id, greatest first, cut at approximate quantiles of the rows' ids."""
+    n = batches or min(MOST_BATCHES, max(LEAST_BATCHES, -(-hashes.count() // BATCH_LINES)))
+    shares = [k / n for k in range(1, n)]
+    cuts = hashes.agg(F.percentile_approx("doc_id", shares)).first()[0] if shares else None
+    edges = [None, *sorted(set(cuts or [])), None]
+    out = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        own = F.lit(True) if low is None else F.col("doc_id") >= low
+        out.append(hashes.where(own if high is None else own & (F.col("doc_id") < high)))
+    return out[::-1]
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_documents: int = MIN_DOCUMENTS, batches: int | None = None) -> DataFrame:
     """(doc_id, kept_text, n_lines, n_dropped): lines of repeated keys stay only in the largest doc_id that holds them.
 
-    Defined cases: a null or empty text is one empty line; rows of one doc_id count as one document; rows with a null
-    doc_id neither count nor lose lines; an empty table gives no rows; other columns are ignored.
+    The number of batches follows the number of lines unless given. Defined cases: a null or empty text is one empty line;
+    rows of one doc_id count as one document; rows with a null doc_id neither count nor lose lines; ids may be any longs;
+    an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     hashes = cut(line_hashes(docs, min_chars), "line-hashes")
-    bounds = hashes.agg(F.min("doc_id"), F.max("doc_id")).first()
     runs = LineRuns(spark)
-    if bounds[0] is not None:
-        width = (bounds[1] - bounds[0]) // batches + 1
-        for b in reversed(range(batches)):
-            low = bounds[0] + b * width
-            runs.add(hashes.where(F.col("doc_id").between(low, low + width - 1)))
-        repeated = cut(runs.repeated(min_documents), "repeated-lines")
-        runs.drop()
+    if not hashes.isEmpty():
+        try:
+            for batch in _batches(hashes, batches):
+                runs.add(batch)
+            repeated = cut(runs.repeated(min_documents), "repeated-lines")
+        finally:
+            runs.drop()
         lost = hashes.join(repeated, "h").where("doc_id <> last_doc").groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set("h").alias("lost"))
         joined = docs.select("doc_id", "text").join(lost, F.col("doc_id") == F.col("lost_id"), "left").select("doc_id", "text", "lost")
     else:

@@ -42,6 +42,22 @@ def test_edges_of_the_input(spark):
     check(spark, rows, batches=7)
 
 
+def test_ids_over_the_whole_range_of_longs(spark):
+    line = "a line that stands in many documents"
+    rows = [(i, line) for i in (-(1 << 63), (1 << 63) - 1, 0, 1, 2, 3, 4)]
+    check(spark, rows)
+    check(spark, rows, batches=5)
+
+
+def test_batches_follow_the_lines(spark, monkeypatch):
+    rows = [(i, "\n".join(f"a line of some length {(i * 7 + k) % 40}" for k in range(5))) for i in range(100)]
+    monkeypatch.setattr(ld, "BATCH_LINES", 60)
+    hashes = ld.line_hashes(spark.createDataFrame(rows, "doc_id long, text string"))
+    parts = [b.count() for b in ld._batches(hashes, None)]
+    assert len(parts) == 9 and sum(parts) == 500 and max(parts) < 100
+    check(spark, rows)
+
+
 def test_no_long_line_and_no_row(spark):
     check(spark, [(1, "a\nb"), (2, None)])
     check(spark, [])
