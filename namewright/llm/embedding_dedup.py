@@ -198,7 +198,8 @@ def _decode(vectors: DataFrame) -> DataFrame:
                 names=["id", "label", "weight", "width", "vector", "filters", "filter"],
             )
 
-    return vectors.select("id", "label", "weight", "embedding").mapInArrow(run, "id long, label int, weight long, width int, vector binary, filters binary, filter array<int>")
+    kind = vectors.schema["label"].dataType.simpleString()
+    return vectors.select("id", "label", "weight", "embedding").mapInArrow(run, f"id long, label {kind}, weight long, width int, vector binary, filters binary, filter array<int>")
 
 
 def cap_links(vectors: DataFrame, limit: float = LEAST_COSINE) -> DataFrame:

@@ -72,6 +72,14 @@ def test_edges_of_the_input(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_labels_of_other_types(spark):
+    v = [1.0, 2.0, 3.0, 4.0]
+    rows = [(1, v, 1), (2, v, 1), (3, v, 2), (4, v, None)]
+    for kind, of in (("string", str), ("long", int), ("short", int)):
+        df = spark.createDataFrame([(i, x, None if label is None else of(label)) for i, x, label in rows], f"vec_id long, embedding array<double>, label {kind}")
+        assert {(r.vec_id, r.n_links, r.component_id) for r in e.near_vectors(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)}
+
+
 def test_blocks_of_a_large_bucket_find_the_same(spark, monkeypatch):
     rows = clusters(2, n=400)
     whole = run(spark, rows)
