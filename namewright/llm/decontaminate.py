@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -144,13 +143,7 @@ class ItemAutomaton:
                         up = self.link[up]
                 if size:
                     spans.append((at - size, at))
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged, found
+        return _merged(spans), found
 
     @staticmethod
     def _stretches(padded: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -165,14 +158,25 @@ class ItemAutomaton:
         return len(own), *self.match(ids)
 
 
-def _automata(benchmark: DataFrame, window: int, shard_chars: int) -> Iterator[ItemAutomaton]:
-    """An automaton for each shard. The driver holds one shard's items, whose size is checked, at a time."""
-    items = benchmark.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    shards = total // shard_chars + 1
-    for k in range(shards):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        yield ItemAutomaton([(r["item_id"], words(r["text"])) for r in own.toLocalIterator()], window)
+class Shards:
+    """The benchmark's items, dealt over automata of bounded size; each is built when it is asked for."""
+
+    def __init__(self, benchmark: DataFrame, window: int, shard_chars: int):
+        items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL")
+        self.window = window
+        self.n = (items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // shard_chars + 1
+        items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)))
+        self.items = items if self.n == 1 else cut(items, "benchmark-items")
+
+    def automaton(self, k: int):
+        """Shard k, broadcast. The driver holds one shard's items, whose size is checked, at a time."""
+        own = self.items.where(F.col("shard") == k).select("item_id", "text")
+        held = ItemAutomaton([(r["item_id"], words(r["text"])) for r in own.toLocalIterator()], self.window)
+        return self.items.sparkSession.sparkContext.broadcast(held)
+
+
+_HITS = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.int64()))])
+_HITS_SQL = "struct<n_words:long,spans:array<struct<a:int,b:int>>,items:array<long>>"
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -181,46 +185,51 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_char
     A document word inside any occurrence of a window is hit; a window is ``window`` consecutive words of an item, or
     the whole of a shorter item. Defined cases: null texts have no words; items without words or with a null item_id
     have no window; rows that share an item_id are one item; repeated documents stay repeated; an empty benchmark hits
-    nothing.
+    nothing; a column ``hits`` of ``docs`` is replaced, others of any name are passed on.
     """
-    spark = docs.sparkSession
-    return _scanned(docs, [spark.sparkContext.broadcast(a) for a in _automata(benchmark, window, shard_chars)])
+    docs = docs.drop("hits")
+    return _scanned(_plain(docs), Shards(benchmark, window, shard_chars)).toDF(*docs.columns, "hits")
 
 
-def _scanned(docs: DataFrame, automata: list) -> DataFrame:
-    """``scan`` with broadcast automata."""
-    kind = "struct<n_words:long,spans:array<struct<a:int,b:int>>,items:array<long>>"
-    parts = []
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with names of its own for all columns but text, which those of the scan cannot clash with."""
+    return docs.toDF(*("text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)))
+
+
+def _scanned(docs: DataFrame, shards: Shards) -> DataFrame:
+    """``docs`` and a last column hits. Several shards are as many passes, written in between, so that a task holds one."""
     out = docs
-    for k, held in enumerate(automata):
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    for k in range(shards.n):
+        held = shards.automaton(k)
 
         def run(batches, held=held):
             for batch in batches:
+                known = batch.schema.get_field_index("hits")
                 found = [held.value.scan(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
+                if known >= 0:
+                    before = batch.column(known).to_pylist()
+                    found = [(n, _merged([*((x["a"], x["b"]) for x in was["spans"]), *spans]), items.union(was["items"])) for was, (n, spans, items) in zip(before, found, strict=True)]
                 hits = [{"n_words": n, "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)} for n, spans, items in found]
-                column = pa.array(hits, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.int64()))]))
-                yield batch.append_column(f"hits_{k}", column)
-
-        parts.append(f"hits_{k}")
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-        out = out.mapInArrow(run, f"{fields}, hits_{k} {kind}")
-    if len(parts) == 1:
-        return out.withColumnRenamed(parts[0], "hits")
-    spans = F.array_sort(F.array_distinct(F.concat(*(F.col(f"{p}.spans") for p in parts))))
-    items = F.array_sort(F.array_distinct(F.concat(*(F.col(f"{p}.items") for p in parts))))
-    return out.withColumn("hits", F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), _merged(spans).alias("spans"), items.alias("items"))).drop(*parts)
-
-
-def _merged(spans):
-    """Sorted spans with those that meet joined."""
-
-    def add(done, s):
-        last = F.get(done, F.size(done) - 1)
-        joined = F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))
-        meets = (F.size(done) > 0) & (s["a"] <= last["b"])
-        return F.when(meets, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(s)))
-
-    return F.aggregate(spans, F.array().cast("array<struct<a:int,b:int>>"), add)
+                columns = batch.columns[:known] if known >= 0 else batch.columns
+                yield pa.record_batch([*columns, pa.array(hits, _HITS)], names=[*batch.schema.names[: len(columns)], "hits"])
+
+        out = out.mapInArrow(run, f"{fields}, hits {_HITS_SQL}")
+        if shards.n > 1:
+            out = cut(out, "hits")
+            held.unpersist()
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, with those that meet joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -250,25 +259,30 @@ def cleaned(automaton: ItemAutomaton, text: str | None, max_words: int, max_cove
 def remove_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW - 1, max_coverage: float = 0.5, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``docs`` without the passages that benchmark items share: hit spans of more than ``max_words`` words go.
 
-    So do whole items shorter than a window, each of which is one window, wherever they stand. Where more than ``max_coverage`` of the words are hit, every hit span goes whatever its length. The result does not depend
-    on the number of automata: each round of cuts is decided on the spans of all, and changed texts go through all again.
-    Documents keep their row; one of which nothing is left gets an empty text. n_chars, if there, is counted anew.
+    So do whole items shorter than a window, each of which is one window, wherever they stand. Where more than ``max_coverage``
+    of the words are hit, every hit span goes whatever its length. The result does not depend on the number of automata: each
+    round of cuts is decided on the spans of all, and changed texts go through all again. Defined cases: documents keep their row,
+    repeats too; one of which nothing is left gets an empty text, a null text stays null; an empty table gives no rows; other
+    columns of any name are passed on; n_chars, if there, is counted anew.
     """
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(a) for a in _automata(benchmark, window, shard_chars)]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    shards = Shards(benchmark, window, shard_chars)
+    out = _cleaned_at_once(docs, shards, max_words, max_coverage) if shards.n == 1 else _cleaned_in_rounds(docs, shards, max_words, max_coverage)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
+
+
+def _cleaned_at_once(docs: DataFrame, shards: Shards, max_words: int, max_coverage: float) -> DataFrame:
+    held = shards.automaton(0)
 
-    def clean(batches, held=automata[0]):
+    def clean(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             new = pa.array([cleaned(held.value, t.as_py(), max_words, max_coverage) for t in batch.column(at)], pa.string())
             yield pa.record_batch([new if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    out = docs.mapInArrow(clean, fields) if len(automata) == 1 else _cleaned_in_rounds(docs, automata, max_words, max_coverage, window)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
+    return docs.mapInArrow(clean, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
 
 
-def _cleaned_in_rounds(docs: DataFrame, automata: list, max_words: int, max_coverage: float, window: int) -> DataFrame:
+def _cleaned_in_rounds(docs: DataFrame, shards: Shards, max_words: int, max_coverage: float) -> DataFrame:
     """``cleaned`` by several automata: a round for all texts, and further ones for those that the last one changed."""
 
     def clean(batches):
@@ -277,18 +291,17 @@ def _cleaned_in_rounds(docs: DataFrame, automata: list, max_words: int, max_cove
             new = []
             for text, hit in zip(batch.column(at), batch.column(hits), strict=True):
                 text, hit = text.as_py(), hit.as_py()
-                gone = _gone(hit["n_words"], [(s["a"], s["b"]) for s in hit["spans"]], max_words, max_coverage, window)
+                gone = _gone(hit["n_words"], [(s["a"], s["b"]) for s in hit["spans"]], max_words, max_coverage, shards_window)
                 new.append((_without(text, gone) if gone else text, bool(gone)))
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "hits"}
             columns["text"] = pa.array([t for t, _ in new], pa.string())
             yield pa.record_batch([*columns.values(), pa.array([c for _, c in new], pa.bool_())], names=[*columns, "changed"])
 
-    # Own names, which the columns of the rounds cannot clash with.
-    todo = docs.toDF(*("text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)))
+    shards_window, todo = shards.window, _plain(docs)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields)
     done = None
     while True:
-        after = cut(_scanned(todo, automata).mapInArrow(clean, f"{fields}, changed boolean"), "decontaminated")
+        after = cut(_scanned(todo, shards).mapInArrow(clean, f"{fields}, changed boolean"), "decontaminated")
         settled, todo = (after.where(c).drop("changed") for c in (~F.col("changed"), F.col("changed")))
         done = settled if done is None else done.union(settled)
         if todo.isEmpty():

@@ -32,7 +32,7 @@ def brute(text, items, window=10):
 def check(spark, docs, items, **more):
     df = spark.createDataFrame([(i, t, "a", 5) for i, t in docs], "doc_id long, text string, hits string, n_words int")
     bench = spark.createDataFrame([(i, t, "b") for i, t in items], "item_id long, text string, lang string")
-    got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in d.contamination(df.drop("hits"), bench, **more).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in d.contamination(df, bench, **more).collect()), key=str)
     want = sorted(((i, *(b := brute(t, items)), b[1] > 0) for i, t in docs), key=str)
     assert got == want
 
@@ -78,6 +78,19 @@ def test_shards_find_the_same(spark, sf_dir):
     assert any(h["spans"] for h in whole.values())
 
 
+def test_clashing_columns(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, "x", item, 7, 8, 9)], "doc_id long, hits string, text string, hits_0 int, c0 int, changed int")
+    bench = spark.createDataFrame([(1, item), (2, "else " * 30)], "item_id long, text string")
+    for size in (4_000_000, 20):
+        found = d.scan(docs, bench, shard_chars=size)
+        assert found.columns == ["doc_id", "text", "hits_0", "c0", "changed", "hits"]
+        (row,) = found.collect()
+        assert (row.hits_0, row.c0, row.changed, [tuple(s) for s in row.hits.spans]) == (7, 8, 9, [(0, 11)])
+        cleaned = d.remove_spans(docs, bench, shard_chars=size)
+        assert cleaned.columns == docs.columns and [tuple(r) for r in cleaned.collect()] == [(1, "x", "", 7, 8, 9)]
+
+
 def test_removed_spans(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, f"keep this, {item}. And that", 3), (2, item, 3), (3, "clean Text", 10), (4, None, None)], "doc_id long, text string, n_chars long")
@@ -89,9 +102,12 @@ def test_removed_spans(spark):
 def test_what_a_cut_brings_together_is_scanned_again(spark):
     one = "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10"
     docs = spark.createDataFrame([(1, f"x b1 b2 b3 b4 b5 {one} b6 b7 b8 b9 b10 y")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, one), (2, "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10")], "item_id long, text string")
-    (row,) = d.remove_spans(docs, bench).collect()
-    assert row.text.split() == ["x", "y"]
+    two = "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10"
+    for items in ([(1, one), (2, two)], [(2, one), (1, two)], [(7, two), (8, one)]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        for size in (4_000_000, 40, 12):
+            (row,) = d.remove_spans(docs, bench, shard_chars=size).collect()
+            assert row.text.split() == ["x", "y"]
 
 
 def removed(spark, docs, items, **more):
