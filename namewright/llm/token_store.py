@@ -19,15 +19,15 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -45,18 +45,17 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 
 INDEX_DTYPE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("n_tokens", "<u4")])
 FRAME_BYTES = 256 * 1024
-CACHE_PIECES = 600_000
-CACHE_PIECE_CHARS = 64
 
 
 # --- encoding ---------------------------------------------------------------------------------------------------
 
-#: White space beside which a space may belong to a longer run of white space.
-_SPACES = [chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
-_BEFORE_SPACE = [c + " " for c in _SPACES]
-_RUNS = [x + y for c in _SPACES for x, y in {(c, " "), (c, "\n"), ("\n", c)}]
-_SAFE_SPACE = re.compile(r"(?<!\s) | (?=\S)")
-_LATIN_END = "\u0250"
+#: Cuts texts in Arrow; a text that holds it goes through the library whole.
+_CUT = "\0"
+#: Letters by any version of Unicode, so that all regular expressions agree on them.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_STOPS = ".,"
+#: Pieces of one call of the library.
+_TOGETHER = 128
 
 
 def _byte_characters() -> dict[int, str]:
@@ -67,12 +66,13 @@ def _byte_characters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Encodes texts by the tokenizers library, remembering the ids of pieces that recur.
+    """Encodes the texts of a batch by the tokenizers library, each different piece of them once.
 
-    Byte-level BPE never merges across pre-tokens, and a space starts a pre-token unless white space stands on both
-    sides of it. So the ids of a text are those of its pieces between such spaces, in order, and each distinct piece
-    needs the library just once; a piece that is one run of Latin letters goes straight to the library's BPE model.
-    Texts that hold a special token's string go through the library whole.
+    Byte-level BPE never merges across pre-tokens. A space or newline starts a pre-token unless it is in a run of white space, and
+    a full stop or comma between a letter and white space is one. So the ids of a text are those of its pieces between such
+    places in order. Arrow cuts the texts and numbers their different pieces; these go to the library in groups, and of the ids
+    that come back just the first of each piece starts with a space or is a newline. Pieces of Latin letters need only the library's
+    BPE model. Texts with other runs of white space than blank lines, or with a special token's string, go whole.
     """
 
     def __init__(self, path: str):
@@ -82,61 +82,105 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.code = {2: "H", 4: "I"}[self.width]
         self.characters = _byte_characters()
-        self.known: dict[str, bytes] = {}  # by what follows a space
-        self.bare: dict[str, bytes] = {}
-        self.ends = {c: self._whole(c) for c in ".,"}
         self.newline = self._whole("\n")
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _word(self, word: str, space: str) -> bytes:
-        """The ids of space (one or none) and word, of which word has white space at most inside a piece."""
-        if word[-1:] in self.ends and word[:-1].isalpha():
-            return self._known(word[:-1], space) + self.ends[word[-1]]
-        if word.isalpha() and (word.isascii() or max(word) < _LATIN_END):
-            mapped = space + word if word.isascii() else (space + word).encode().decode("latin-1")
-            return array(self.code, [t.id for t in self.model.tokenize(mapped.translate(self.characters))]).tobytes()
-        return self._whole(space + word)
-
-    def _known(self, word: str, space: str) -> bytes:
-        known = self.known if space else self.bare
-        if (ids := known.get(word)) is None:
-            ids = self._word(word, space)
-            if len(word) <= CACHE_PIECE_CHARS:
-                known[word] = ids
-        return ids
-
-    def _line(self, first: str, rest: list[str]) -> bytes:
-        """The ids of the first piece, which no space precedes, and of those that each follow a space."""
-        got = list(map(self.known.get, rest))
-        if None in got:
-            got = [self._known(p, " ") if ids is None else ids for p, ids in zip(rest, got, strict=True)]
-        return (self._known(first, "") if first else b"") + b"".join(got)
+        self.stops = {c: self._whole(c) for c in _STOPS}
+        #: Ids whose token starts a piece: those that start with a space, and the newline.
+        self.starts = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.starts[i] = token.startswith(self.characters[ord(" ")])
+        self.starts[self.newline] = True
+        #: A special token with white space could lie across pieces.
+        self.by_pieces = len(self.newline) == 1 and not any(any(c.isspace() for c in s) for s in self.special)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _letters(self, text: str) -> list[int]:
+        """The ids of Latin words, each after a space or newline."""
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.characters))]
+
+    def _kind(self, piece: str) -> str:
+        """Of a piece that is not plain: break, stop, odd, or else simple."""
+        if piece == "\n":
+            return "break"
+        if piece in self.stops:
+            return "stop"
+        body = piece[1:]
+        good = piece[:1] in (" ", "\n") and body.split() == [body] and not any(s in body for s in self.special)
+        return "simple" if good else "odd"
+
+    def _ids(self, pieces: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each piece's start) of pieces that each have a space or newline in front."""
+        bounds = pa.array([*range(0, len(pieces), _TOGETHER), len(pieces)], pa.int32())
+        found = [encode(t) for t in pc.binary_join(pa.ListArray.from_arrays(bounds, pieces), "").to_pylist()] if len(pieces) else []
+        ids = np.fromiter(chain.from_iterable(found), self.dtype)
+        at = np.flatnonzero(self.starts[ids])
+        if len(at) != len(pieces):
+            found = [self._whole(p) for p in pieces.to_pylist()]
+            ids = np.fromiter(chain.from_iterable(found), self.dtype)
+            at = np.cumsum([0, *map(len, found)])[:-1]
+        return ids, at
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string array (null: empty), as little-endian integers of ``width`` bytes."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_pieces:
+            return [np.array(self._whole(t), self.dtype).tobytes() for t in texts.to_pylist()]
+        own = pc.replace_substring_regex(texts, f"([{_LATIN}])([{_STOPS}])([ \n])", f"\\1{_CUT}\\2\\3")
+        for space in (" ", "\n"):
+            own = pc.replace_substring(own, space, _CUT + space)
+        # The first piece is taken as if a newline stood before it.
+        cut = pc.split_pattern(pc.binary_join_element_wise("\n", own, ""), _CUT)
+        offsets = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        pieces, codes = coded.dictionary, coded.indices.to_numpy()
+        plain = pc.match_substring_regex(pieces, f"^[ \n][{_LATIN}]+$").to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~plain)
+        names = pieces.take(pa.array(rest)).to_pylist()
+        kinds = [self._kind(p) for p in names]
+        simple = rest[[k == "simple" for k in kinds]] if len(rest) else rest
+
+        # Ids of all pieces in one array: the newline, the stops, then the plain and the simple ones.
+        fixed = [self.newline, *self.stops.values()]
+        parts, used = [np.fromiter(chain.from_iterable(fixed), self.dtype)], sum(map(len, fixed))
+        first, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        for places, encode in ((np.flatnonzero(plain), self._letters), (simple, self._whole)):
+            ids, at = self._ids(pieces.take(pa.array(places)), encode)
+            first[places], size[places] = used + at, np.diff(np.append(at, len(ids)))
+            parts.append(ids)
+            used += len(ids)
+        where = dict(zip(["\n", *self.stops], np.cumsum([0, *map(len, fixed)]).tolist(), strict=False))
+        odd, alone, after = (np.zeros(len(pieces), bool) for _ in range(3))
+        after[plain] = pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False)[plain]
+        for k, name, kind in zip(rest.tolist(), names, kinds, strict=True):
+            odd[k], alone[k], after[k] = kind == "odd", kind == "break", kind == "simple" and name[0] == "\n"
+            if kind in ("break", "stop"):
+                first[k], size[k] = where[name], len(self.newline if kind == "break" else self.stops[name])
+
+        # A newline with nothing after it ends the text, or just one newline more follows.
+        wrong = odd[codes]
+        lone = np.flatnonzero(alone[codes])
+        ends = np.zeros(len(codes) + 1, bool)
+        ends[offsets] = True
+        wrong[lone] = ~(ends[lone + 1] | after[codes[np.minimum(lone + 1, len(codes) - 1)]])
+        held = np.flatnonzero(pc.match_substring(texts, _CUT).to_numpy(zero_copy_only=False))
+        whole = np.union1d(np.searchsorted(offsets, np.flatnonzero(wrong), side="right") - 1, held).tolist()
+
+        lengths = size[codes]
+        bounds = np.append(0, np.cumsum(lengths))
+        flat = np.concatenate(parts)[np.repeat(first[codes] - bounds[:-1], lengths) + np.arange(bounds[-1])]
+        edges = bounds[offsets].tolist()
+        out = [flat[a + 1 : b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+        for k in whole:
+            out[k] = np.array(self._whole(texts[k].as_py()), self.dtype).tobytes()
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian integers of ``width`` bytes."""
-        if not text:
-            return b""
-        if len(self.known) + len(self.bare) > CACHE_PIECES:
-            self.known.clear()
-            self.bare.clear()
-        if any(s in text for s in self.special):
-            return self._whole(text)
-        if not any(s in text for s in _RUNS) and not text[0].isspace() and not text[-1].isspace():
-            # A newline between two other characters is a pre-token of its own.
-            return self.newline.join(self._line(first, rest) for first, *rest in (line.split(" ") for line in text.split("\n")))
-        if not any(s in text for s in _BEFORE_SPACE):
-            first, *rest = text.split(" ")
-        elif not text[-1].isspace():
-            first, *rest = _SAFE_SPACE.split(text)
-        else:
-            return self._whole(text)
-        return self._line(first, rest)
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -257,14 +301,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         part, n_docs, n_ids, writer, sink = context.partitionId(), 0, 0, None, None
         name, temp = f"part-{part:06d}.tokens.zst", f"{root}/_writing-{part:06d}-{context.taskAttemptId()}"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     sink = fs.open_output_stream(temp, compression=None)
                     writer = FrameWriter(sink, enc.width)
-                ids = enc.encode(text.as_py() or "") + end
-                writer.add(doc_id.as_py(), ids)
-                n_docs, n_ids = n_docs + 1, n_ids + len(ids) // enc.width
+                writer.add(doc_id, ids + end)
+                n_docs, n_ids = n_docs + 1, n_ids + len(ids) // enc.width + 1
         if writer is not None:
             writer.close()
             sink.close()
