@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from namewright.session import new_folder, remove
+
 #: The white space of the contracts, `[\x20\x09-\x0D]`; it is also what bytes.split() splits at.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -15,6 +17,26 @@ SPACES = " \t\n\x0b\x0c\r"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+class Cuts:
+    """Tables that one operator writes into the shared folder to cut lineage; each can go once what it led to is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, what: str) -> DataFrame:
+        self.paths[what] = path = new_folder(self.spark, what)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names or list(self.paths):
+            remove(self.spark, self.paths.pop(name))
+
+    def keep(self, name: str) -> None:
+        """Leave this table in place: the operator's result reads it."""
+        self.paths.pop(name)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,22 +1,18 @@
-"""SimHash near-dedup of texts at a similarity of 0.8 or more on five-word shingles: wide fingerprints and sampled keys.
-
-Two texts whose shingle sets have a Jaccard similarity of 0.8 have a cosine of 0.89, and so differ in about 15 % of the
-bits of their SimHash. A bound of 3 of 64 bits, for which the Golay keys of ``simhash`` lose nothing, sees few of them; a
-Golay segment of 23 bits has 3.5 such errors on average, beyond what it decodes. So the pairs come from two kinds of keys
-over one wide SimHash: the Golay keys of its first 64 bits, and tables that each sample 16 of its 256 bits. With 48 tables
-a pair at similarity 0.8 shares a key with a probability of about 0.95, rising steeply above (0.99 at 0.85).
-
-Candidates pass by the distance of 128 bits and are then verified by the exact similarity of their whole shingle sets.
-Equal texts are merged before. All candidate pairs of a bucket with few texts are verified. Of a larger one the edges of a
-spanning forest of its closest pairs are; then all the texts that such forests connect are dealt as one group over pairs of
-blocks, where every pair within the distance whose ends are not linked yet is verified beside the shingle sets themselves, so
-that no row per pair is made. Very large buckets are split into blocks too.
-
-These keys are a first pass, which links most and may lose some. A second pass over all distinct texts loses none: if two
-sets of shingles, in one order for all texts, have a similarity of t, they share one of the first n - ceil(t n) + 1 of each.
-The order is by the number of texts in a sample that hold a shingle, and then by hash, so that common shingles come last; any
-order is right, it decides only how many candidates there are. Texts join on the shingles of these prefixes; pairs of one
-component of the first pass, or whose sizes or places in the order rule the similarity out, are left out, the others verified.
+"""SimHash near-dedup of texts at a similarity of 0.8 or more on five-word shingles.
+
+Every text has a SimHash of its distinct five-word shingles. Texts whose fingerprints differ in at most 3 bits meet by the Golay
+keys of ``simhash``; such fingerprints are joined into groups, and the texts of a group are dealt over pairs of blocks where
+every pair whose ends are not linked yet is verified by the exact similarity of whole shingle sets. No row per pair is made.
+
+Two texts at a similarity of 0.8 differ in about 15 % of their SimHash bits, beyond what Golay decoding to 3 bits finds. So an
+exact pass follows, which loses no pair: if two sets of shingles, in one order for all texts, have a similarity of t, they share
+one of the first n - ceil(t n) + 1 of each. The order is by the number of texts in a sample that hold a shingle, and then by hash,
+so that common shingles come last; any order is right, it decides only how many candidates there are. Texts join on the shingles
+of these prefixes; pairs that the first pass joined, or whose sizes or places in the order rule the similarity out, are left
+out, the others verified: those of buckets with few texts one by one, those of larger buckets by groups and blocks as before.
+
+Equal texts (by their words) are merged before both passes. A text goes through Python once for its hash, fingerprint and prefix,
+and again only where a candidate needs its whole shingle set. A row is found again by its doc_id and a 64-bit hash of its text.
 """
 
 from __future__ import annotations
@@ -26,20 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namewright.llm.common import arrow_map, texts
+from namewright.llm.common import Cuts, arrow_map, texts
 from namewright.llm.components import components
 from namewright.llm.embedding_dedup import _groups
-from namewright.llm.simhash import _shingle_digests, fuzzy_keys, word_list
+from namewright.llm.simhash import _shingle_digests, hamming_links, word_list
 from namewright.session import cut
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-TABLES, TABLE_BITS, WIDTH = 48, 16, 256
-#: Of 128 bits, a pair at similarity 0.8 differs in 19.4 with a deviation of 4.1; unrelated texts in 64 with one of 5.7.
-MOST_BITS = 33
+#: Texts of a bucket of which all pairs are verified one by one, and of a block of a larger one.
 ALL_PAIRS, BLOCK = 24, 2048
 #: Texts of one block of a group, for few blocks; groups of more than GROUP_BLOCKS blocks have larger ones, up to BLOCK texts.
 GROUP_BLOCK, GROUP_BLOCKS = 128, 32
@@ -63,117 +57,35 @@ def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.frombuffer(_shingle_digests(word_list(text), size, SEED), ">u8").astype(np.uint64))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """WIDTH bits as 64-bit words, each bit the majority over the distinct shingles."""
-    words = []
-    for lane in range(WIDTH // 64):
-        ones = np.zeros(64, np.int64)
-        for lo in range(0, len(hashes), 1 << 16):
-            mixed = _mixed(hashes[lo : lo + (1 << 16)], lane)
-            ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        words.append(np.packbits(2 * ones > len(hashes)))
-    return np.concatenate(words).view(np.uint64)
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of distinct shingle hashes as a signed 64-bit integer: each bit is the majority's; 0 without shingles."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0])
 
 
-def sampled_keys(fps: np.ndarray) -> np.ndarray:
-    """(n, TABLES) keys from fingerprints (n, WIDTH / 64)."""
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1)
-    rng = np.random.default_rng(SEED)
-    keys = [bits[:, rng.choice(WIDTH, TABLE_BITS, replace=False)].astype(np.int64) @ (1 << np.arange(TABLE_BITS)) | (t + 1) << 32 for t in range(TABLES)]
-    return np.stack(keys, axis=1)
+def _row_hash() -> Column:
+    """What tells a document's row from others of its doc_id."""
+    return F.xxhash64("text")
 
 
-def _mark(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, fp): a 128-bit hash of the text's words and its wide fingerprint."""
+def _mark(docs: DataFrame, order, least: float) -> DataFrame:
+    """(doc_id, row, h, fp, sketch, prefix): a 128-bit hash of the text's words, its fingerprint, the parity sketch of its
+    shingles, and their number and the hashes of its prefix, packed."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, fps = [], []
+        hashes, fps, sketches, packed = [], [], [], []
         for t in texts(batch):
+            own = shingle_hashes(t)
+            sketches.append(_sketches([own]).tobytes())
             hashes.append(xxhash.xxh3_128_digest(b" ".join(word_list(t))))
-            fps.append(wide_fingerprint(shingle_hashes(t)).tobytes())
-        return pa.record_batch([batch.column(0), pa.array(hashes, pa.binary()), pa.array(fps, pa.binary())], names=["doc_id", "h", "fp"])
-
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, h binary, fp binary")
-
-
-def _forest(distance: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges (places) of a spanning forest of the pairs within MOST_BITS, closest first."""
-    label, out = np.arange(n), []
-    for d in range(MOST_BITS + 1):
-        level = distance == d
-        if not level.any():
-            continue
-        level &= label[rows][:, None] != label[cols][None, :]
-        for r in np.flatnonzero(level.any(axis=1)).tolist():
-            a = rows[r]
-            others = cols[level[r]]
-            labels, first = np.unique(label[others], return_index=True)
-            new = labels != label[a]
-            if new.any():
-                out += [(int(a), int(o)) for o in others[first[new]]]
-                label[np.isin(label, labels)] = label[a]
-    return out
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, x, y, side, id, f0, f1) sorted by key, x, y -> candidate pairs (a, b) of ids, a < b; large (0 or 1) tells
-    edges of the forest of a large bucket."""
-    for table in _groups(batches, ["key", "x", "y"]):
-        key, x, y, side, ids, f0, f1 = (table.column(c).to_numpy() for c in ("key", "x", "y", "side", "id", "f0", "f1"))
-        f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(key)))
-        group = np.repeat(np.arange(len(starts)), sizes)
-        a, b = [], []
-        small = np.flatnonzero((sizes[group] > 1) & (sizes[group] <= ALL_PAIRS))
-        for lag in range(1, ALL_PAIRS):
-            i, j = small[:-lag], small[lag:]
-            same = group[i] == group[j]
-            if not same.any():
-                break
-            i, j = i[same], j[same]
-            near = np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j]) <= MOST_BITS
-            a.append(i[near])
-            b.append(j[near])
-        for g in np.flatnonzero(sizes > ALL_PAIRS):
-            here = slice(starts[g], starts[g] + sizes[g])
-            s, g0, g1 = side[here], f0[here], f1[here]
-            rows = np.flatnonzero(s == 0)
-            cols = np.flatnonzero(s == 1) if s.any() else rows
-            distance = np.bitwise_count(g0[rows][:, None] ^ g0[cols]) + np.bitwise_count(g1[rows][:, None] ^ g1[cols])
-            if not s.any():
-                np.fill_diagonal(distance, 255)
-            if (distance <= MOST_BITS).any():
-                found = np.array(_forest(distance, rows, cols, int(sizes[g]))).reshape(-1, 2) + starts[g]
-                a.append(found[:, 0])
-                b.append(found[:, 1])
-        large = np.concatenate([np.full(len(v), sizes[group[v[0]]] > ALL_PAIRS if len(v) else False) for v in a]) if a else np.zeros(0, bool)
-        a, b = (ids[np.concatenate(v)] if v else np.zeros(0, np.int64) for v in (a, b))
-        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b), large]), axis=0)
-        if len(pairs):
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2])], names=["a", "b", "large"])
-
-
-def _candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b, large) of the ids of distinct texts (id, fp) that may be similar."""
+            fps.append(fingerprint(own))
+            packed.append(np.concatenate([np.array([len(own)], np.uint64), order.value.prefix(own, least)]).tobytes())
+        columns = [batch.column(0), batch.column(1), pa.array(hashes, pa.binary()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array(packed, pa.binary())]
+        return pa.record_batch(columns, names=["doc_id", "row", "h", "fp", "sketch", "prefix"])
 
-    def expand(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-        at, golay = fuzzy_keys(fps[:, 0])
-        keys = sampled_keys(fps)
-        place = np.concatenate([np.repeat(np.arange(len(fps)), TABLES), at])
-        key = np.concatenate([keys.ravel(), golay | np.int64(1) << 62])
-        ids, signed = batch.column(0).to_numpy(), fps.view(np.int64)
-        return pa.record_batch([pa.array(key), pa.array(ids[place]), pa.array(signed[place, 0]), pa.array(signed[place, 1])], names=["key", "id", "f0", "f1"])
-
-    keyed = arrow_map(distinct.select("id", "fp"), expand, "key long, id long, f0 long, f1 long")
-    large = keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    sized = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = sized.select("key", "id", "f0", "f1", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = met.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "f0", "f1")
-    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_near, "a long, b long, large long").groupBy("a", "b").agg(F.max("large").alias("large"))
+    return arrow_map(docs.select("doc_id", _row_hash().alias("row"), "text"), run, "doc_id long, row long, h binary, fp long, sketch binary, prefix binary")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -186,15 +98,20 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("id", "text"), run, "id long, shingles binary")
 
 
+def _similar(one: np.ndarray, two: np.ndarray, least: float) -> bool:
+    if min(len(one), len(two)) < least * max(len(one), len(two)) - 1e-9:
+        return False
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both >= least * (len(one) + len(two) - both) - 1e-9
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs whose sets have at least this similarity."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for one, two in zip(batch.column(2), batch.column(3), strict=True):
-            one, two = (np.frombuffer(v.as_py(), np.uint64) for v in (one, two))
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            keep.append(both >= least * (len(one) + len(two) - both) - 1e-9)
+            keep.append(_similar(*(np.frombuffer(v.as_py(), np.uint64) for v in (one, two)), least))
         return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
@@ -219,9 +136,25 @@ def _possible(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, least:
     return sizes & (distance <= (one + two) * (1 - least) / (1 + least) + 1e-9), distance
 
 
-def _cross(batches: Iterator[pa.RecordBatch], least: float, exact: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, x, y, side, id, label, fp, shingles) sorted by grp, x, y -> links between different labels. Exact: of all
-    pairs, and not only of those within MOST_BITS."""
+def _likely(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, large) that sizes and sketches do not rule out; those of large buckets pass, since groups check them."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = [np.frombuffer(b"".join(v[:8] for v in batch.column(c).to_pylist()), np.int64) for c in (3, 5)]
+        sketches = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (4, 6)]
+        distance = np.bitwise_count(sketches[0] ^ sketches[1]).sum(axis=1, dtype=np.int64)
+        keep = distance <= sum(sizes) * (1 - least) / (1 + least) + 1e-9
+        keep &= np.minimum(*sizes) >= least * np.maximum(*sizes) - 1e-9
+        return batch.filter(pa.array(keep | (batch.column(2).to_numpy() == 1))).select(["a", "b", "large"])
+
+    known = distinct.select("id", F.substring("prefix", 1, 8).alias("n"), "sketch")
+    for end in ("a", "b"):
+        pairs = pairs.join(known.toDF(end, f"n_{end}", f"sketch_{end}"), end)
+    return arrow_map(pairs.select("a", "b", "large", "n_a", "sketch_a", "n_b", "sketch_b"), run, "a long, b long, large long")
+
+
+def _cross(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, x, y, side, id, label, shingles) sorted by grp, x, y -> links (a, b) between different labels."""
     keys = ["grp", "x", "y"]
     for table in _groups(batches, keys):
         columns = [table.column(k).to_numpy() for k in keys]
@@ -229,8 +162,7 @@ def _cross(batches: Iterator[pa.RecordBatch], least: float, exact: bool = False)
         new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
         bounds = np.append(np.flatnonzero(new), table.num_rows)
         ids, side, labels = (table.column(k).to_numpy() for k in ("id", "side", "label"))
-        fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, -1)
-        f0, f1, sets = fps[:, 0], fps[:, 1], table.column("shingles").combine_chunks()
+        packed = table.column("shingles").combine_chunks()
         out = []
         for lo, hi in zip(bounds, bounds[1:], strict=False):
             label = np.unique(labels[lo:hi], return_inverse=True)[1]
@@ -239,23 +171,12 @@ def _cross(batches: Iterator[pa.RecordBatch], least: float, exact: bool = False)
             differ = label[rows][:, None] != label[cols][None, :]
             if not differ.any():
                 continue
-            if exact:
-                near, distance = _possible([np.frombuffer(v.as_py(), np.uint64) for v in sets[lo:hi]], rows, cols, least)
-            else:
-                distance = np.bitwise_count(f0[lo:hi][rows][:, None] ^ f0[lo:hi][cols]) + np.bitwise_count(f1[lo:hi][rows][:, None] ^ f1[lo:hi][cols])
-                near = distance <= MOST_BITS
-            i, j = np.nonzero(near & differ)
-            order = np.argsort(distance[i, j], kind="stable")
-            opened: dict[int, np.ndarray] = {}
-            for a, b in zip(rows[i[order]].tolist(), cols[j[order]].tolist(), strict=True):
-                if label[a] == label[b]:
-                    continue
-                one, two = (opened.setdefault(k, np.frombuffer(sets[int(lo) + k].as_py(), np.uint64)) for k in (a, b))
-                # Sizes too far apart cannot be similar.
-                if min(len(one), len(two)) < least * max(len(one), len(two)) - 1e-9:
-                    continue
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if both >= least * (len(one) + len(two) - both) - 1e-9:
+            sets = [np.frombuffer(v.as_py(), np.uint64) for v in packed[lo:hi]]
+            possible, distance = _possible(sets, rows, cols, least)
+            i, j = np.nonzero(possible & differ)
+            closest = np.argsort(distance[i, j], kind="stable")
+            for a, b in zip(rows[i[closest]].tolist(), cols[j[closest]].tolist(), strict=True):
+                if label[a] != label[b] and _similar(sets[a], sets[b], least):
                     out.append((int(ids[lo + a]), int(ids[lo + b])))
                     label[label == label[b]] = label[a]
         if out:
@@ -263,17 +184,18 @@ def _cross(batches: Iterator[pa.RecordBatch], least: float, exact: bool = False)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _group_links(pairs: DataFrame, linked: DataFrame, distinct: DataFrame, sets: DataFrame, least: float, exact: bool = False) -> DataFrame:
-    """Links (a, b) that the forests of large buckets leave out; linked (id, label) has the components so far."""
-    groups = components(pairs.where("large = 1").select("a", "b")).toDF("id", "grp")
-    # The edges of a first pass are verified already, so groups of two have no other pair.
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > (1 if exact else 2))
+def _group_links(groups: DataFrame, labels: DataFrame | None, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) whose components are those of all similar pairs within the groups (id, grp) that have different labels
+    (id, label); a text without one is its own."""
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
     blocks = F.least(F.ceil(F.col("n") / GROUP_BLOCK), F.greatest(F.lit(GROUP_BLOCKS), F.ceil(F.col("n") / BLOCK))).cast("int")
-    member = groups.join(sizes, "grp").withColumn("blocks", blocks).join(distinct.select("id", "fp"), "id").join(sets, "id").join(linked, "id", "left")
+    member = groups.join(sizes, "grp").withColumn("blocks", blocks).join(sets, "id")
+    member = member.withColumn("label", F.col("id")) if labels is None else member.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = member.select("grp", "id", F.coalesce("label", "id").alias("label"), "fp", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = rows.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "label", "fp", "shingles")
-    return dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(lambda batches: _cross(batches, least, exact), "a long, b long")
+    met = member.select("grp", "id", "label", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    x, y, side = F.least("own", "other"), F.greatest("own", "other"), (F.col("own") > F.col("other")).cast("int")
+    dealt = met.select("grp", x.alias("x"), y.alias("y"), side.alias("side"), "id", "label", "shingles")
+    return dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(lambda batches: _cross(batches, least), "a long, b long")
 
 
 class ShingleOrder:
@@ -314,20 +236,6 @@ def _shingle_order(docs: DataFrame) -> ShingleOrder:
     return ShingleOrder(rows["s"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64))
 
 
-def _prefixes(docs: DataFrame, order, least: float) -> DataFrame:
-    """(h, prefix) of each different text: its number of shingles and the hashes of its prefix, packed."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, packed = [], []
-        for t in texts(batch):
-            own = shingle_hashes(t)
-            hashes.append(xxhash.xxh3_128_digest(b" ".join(word_list(t))))
-            packed.append(np.concatenate([np.array([len(own)], np.uint64), order.value.prefix(own, least)]).tobytes())
-        return pa.record_batch([pa.array(hashes, pa.binary()), pa.array(packed, pa.binary())], names=["h", "prefix"])
-
-    return arrow_map(docs.select("text"), run, "h binary, prefix binary").groupBy("h").agg(F.first("prefix").alias("prefix"))
-
-
 def _sharing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows (key, xy, id, label, place) sorted by key, xy -> pairs (a, b, large) of different labels that can be similar.
 
@@ -393,9 +301,8 @@ def _sharing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
                 yield pa.record_batch([pa.array(out[:, k]) for k in range(3)], names=["a", "b", "large"])
 
 
-def _all_candidates(docs: DataFrame, distinct: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, large) of the ids of distinct texts, with every similar pair that ``groups`` (id, component) leaves apart."""
-    held = docs.sparkSession.sparkContext.broadcast(_shingle_order(docs))
+def _all_candidates(distinct: DataFrame, labels: DataFrame, held, least: float) -> DataFrame:
+    """Pairs (a, b, large) of the ids of distinct texts, with every similar pair that ``labels`` (id, label) leave apart."""
 
     def expand(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = [np.frombuffer(v.as_py(), np.uint64) for v in batch.column(2)]
@@ -412,20 +319,18 @@ def _all_candidates(docs: DataFrame, distinct: DataFrame, groups: DataFrame, lea
         xy = np.minimum(own, other) << 32 | np.maximum(own, other)
         return pa.record_batch([pa.array(keys.view(np.int64)[at]), pa.array(xy), pa.array(ids[at]), pa.array(label[at]), pa.array(place[at] | (own > other))], names=["key", "xy", "id", "label", "place"])
 
-    known = distinct.select("id", "h").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "h")
-    rows = arrow_map(known.join(_prefixes(docs, held, least), "h").select("id", "label", "prefix"), expand, "key long, xy long, id long, label long, place long")
+    known = distinct.select("id", "prefix").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "prefix")
+    rows = arrow_map(known, expand, "key long, xy long, id long, label long, place long")
     found = rows.repartition("key", "xy").sortWithinPartitions("key", "xy").mapInArrow(lambda batches: _sharing(batches, least), "a long, b long, large long")
     return found.groupBy("a", "b").agg(F.max("large").alias("large"))
 
 
-def _with_hash(docs: DataFrame) -> DataFrame:
-    """``docs`` and _h, the hash of the text's words."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.append_column("_h", pa.array([xxhash.xxh3_128_digest(b" ".join(word_list(t))) for t in texts(batch)], pa.binary()))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return arrow_map(docs, run, f"{fields}, _h binary")
+def _golay_groups(distinct: DataFrame) -> DataFrame:
+    """(id, grp): distinct texts whose fingerprints equal or are linked, over any number of steps, by at most 3 bits."""
+    prints = distinct.select("fp").distinct()
+    found = components(hamming_links(prints)).toDF("fp", "grp")
+    grouped = distinct.select("id", "fp").join(found, "fp", "left").select("id", F.coalesce("grp", "fp").alias("grp"))
+    return grouped.join(grouped.groupBy("grp").count().where("count > 1"), "grp", "left_semi")
 
 
 def keep_one_of_each_group(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -434,32 +339,41 @@ def keep_one_of_each_group(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     Texts link at a Jaccard similarity of at least ``least`` of their sets of five-word shingles (words after lower-casing
     A-Z; a shorter text is one shingle); of each connected group the least doc_id stays. Defined cases: null, empty and
     blank texts are copies of one another; of rows with one doc_id and equal words one stays; a null doc_id stays only
-    where its whole group has none, and then one row does; an empty table gives no rows.
+    where its whole group has none, and then one row does; an empty table gives no rows; other columns, of whatever name, are
+    passed on.
     """
-    marked = cut(_mark(docs), "wide-marks")
-    distinct = marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
-    distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
-    hashed = _with_hash(docs)
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(distinct.select("id", "least", "h"), "id")
-        # One text of each id: a row of its least doc_id and its words.
-        source = hashed.select("doc_id", "text", "_h").join(involved, hashed["doc_id"].eqNullSafe(involved["least"]) & (hashed["_h"] == involved["h"]))
-        return cut(_shingle_sets(source).dropDuplicates(["id"]), "shingle-sets")
-
-    pairs = cut(_candidates(distinct), "near-pairs")
-    sets = sets_of(pairs)
-    linked = cut(components(_verified(pairs.select("a", "b"), sets, least)).toDF("id", "label"), "linked")
-    more = _group_links(pairs, linked, distinct, sets, least)
-    first = cut(components(linked.union(more.toDF("id", "label"))).toDF("id", "component"), "first-groups")
-    pairs = cut(_all_candidates(docs, distinct, first, least), "all-pairs")
-    sets = sets_of(pairs)
-    linked = cut(_verified(pairs.where("large = 0").select("a", "b"), sets, least), "linked")
-    more = _group_links(pairs, first.toDF("id", "label"), distinct, sets, least, exact=True)
-    groups = components(first.toDF("a", "b").union(linked).union(more)).withColumnRenamed("node", "id")
-    labelled = distinct.select("id", "h", "least").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    first = F.min_by("h", F.struct(F.col("least").isNull(), "least", "h")).alias("h")
-    kept = cut(labelled.groupBy("component").agg(first, F.min("least").alias("keep_id")).select("keep_id", "h"), "kept")
-    kept = kept.select("keep_id", F.col("h").alias("_kept"))
-    same = hashed["doc_id"].eqNullSafe(kept["keep_id"]) & (hashed["_h"] == kept["_kept"])
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h")
+    cuts = Cuts(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(_shingle_order(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    merged = _mark(docs, held, least).groupBy("h").agg(first, *(F.first(c).alias(c) for c in ("fp", "sketch", "prefix")))
+    distinct = cuts(merged.withColumn("id", F.monotonically_increasing_id()).drop("h"), "distinct-texts")
+    # Whole rows that repeat are rare; only where there are any do joins by row need a step that keeps one.
+    repeated = not docs.groupBy("doc_id", _row_hash()).count().where("count > 1").isEmpty()
+
+    def rows_of(source: DataFrame, places: DataFrame, columns: list[str]) -> DataFrame:
+        """The rows of ``source`` at places (least and any other columns), with these columns of either."""
+        own = source.select(F.struct("*").alias("doc"), "doc_id", _row_hash().alias("row"))
+        at = places.select("*", F.col("least.doc_id").alias("at_id"), F.col("least.row").alias("at_row"))
+        found = own.join(at, own["doc_id"].eqNullSafe(at["at_id"]) & (own["row"] == at["at_row"]))
+        return (found.dropDuplicates(["doc_id", "row"]) if repeated else found).select(*columns)
+
+    def sets_of(ids: DataFrame, what: str) -> DataFrame:
+        """Whole shingle sets of some texts. Which ones is written first, so that Spark knows the size of that side."""
+        involved = cuts(ids.distinct().join(distinct.select("id", "least"), "id"), f"{what}-ids")
+        return cuts(_shingle_sets(rows_of(docs.select("doc_id", "text"), involved, ["id", "doc.text"])), f"{what}-sets")
+
+    groups = cuts(_golay_groups(distinct), "golay-groups")
+    links = cuts(_group_links(groups, None, sets_of(groups.select("id"), "golay"), least), "golay-links")
+    cuts.drop("golay-sets", "golay-groups")
+    labels = cuts(components(links).toDF("id", "label"), "first-labels")
+    pairs = cuts(_all_candidates(distinct, labels, held, least), "all-pairs")
+    likely = cuts(_likely(pairs, distinct, least), "likely-pairs")
+    sets = sets_of(likely.select(F.col("a").alias("id")).union(likely.select("b")), "likely")
+    few = _verified(likely.where("large = 0").select("a", "b"), sets, least)
+    many = _group_links(components(likely.where("large = 1").select("a", "b")).toDF("id", "grp"), labels, sets, least)
+    joined = components(labels.toDF("a", "b").union(few).union(many)).toDF("id", "component")
+    labelled = distinct.select("id", "least").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    kept = cuts(labelled.groupBy("component").agg(F.min("least").alias("least")), "kept")
+    cuts.keep("kept")
+    cuts.drop()
+    return rows_of(docs, kept.select("least"), ["doc.*"])

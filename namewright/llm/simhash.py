@@ -248,7 +248,8 @@ def hamming_links(fps: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
     sized = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
     met = sized.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = met.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
-    ordered = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    # In order of the fingerprints, so that the forests of different keys have mostly the same links.
+    ordered = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "fp")
     return ordered.mapInArrow(lambda batches: _verify(batches, limit), "a long, b long").distinct()
 
 
