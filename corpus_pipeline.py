@@ -17,24 +17,32 @@ from namewright.session import cut, prepare
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at least 0.5; the model learns from the labels of this run's own documents."""
+    """Documents whose score is at least 0.5; the model learns from the labels of this run's own documents.
+
+    Defined cases: a null text is scored as an empty one and stays null; repeated rows stay or go together; without labels all
+    documents stay; an empty table gives no rows; columns other than those of documents go.
+    """
     prepare(spark)
     documents = docs.select(*DOCUMENT_COLUMNS)
-    labels = read(spark, sf_dir, "labels")
-    keep = quality.fold(F.col("doc_id"), 3) != 1
-    picked = quality.training_ids(labels, keep)
-    model = quality.train(quality.features(documents.join(picked.select("doc_id"), "doc_id", "left_semi")), labels, keep)
+    model = quality.fitted(documents, read(spark, sf_dir, "labels"))
     return quality.score_documents(documents, model).where("quality_score >= 0.5").select(*DOCUMENT_COLUMNS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, by SimHash with Golay keys and an exact pass after it.
+
+    Defined cases: those of ``near_text.keep_one_of_each_group`` (null, empty and blank texts are copies of one another; the least
+    doc_id of a group stays).
+    """
     prepare(spark)
     return near_text.keep_one_of_each_group(docs.select(*DOCUMENT_COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of benchmark items; a document with nothing else in it goes."""
+    """All documents, without passages of benchmark items; a document with nothing else in it goes.
+
+    Defined cases: those of ``decontaminate.remove_spans``; null, empty and blank texts stay as they are, repeated rows too.
+    """
     prepare(spark)
     documents = docs.select(*DOCUMENT_COLUMNS).withColumn("_empty", F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)
     cleaned = decontaminate.remove_spans(documents, read(spark, sf_dir, "benchmark"))
@@ -42,13 +50,21 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, repeated once for each time that the mix takes them."""
+    """Whole documents, repeated once for each time that the mix takes them; drawn by the classifier's score.
+
+    The model learns from the run's own documents as they came in, since hardly a rejected one is left here. Defined cases: those of
+    ``mixing.mixed_documents``; without labels all documents weigh the same.
+    """
     prepare(spark)
-    return mixing.mixed_documents(docs.select(*DOCUMENT_COLUMNS)).select(*DOCUMENT_COLUMNS)
+    model = quality.fitted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return mixing.mixed_documents(docs.select(*DOCUMENT_COLUMNS), model)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids, written in the frame format and read back: a row per document of the mix."""
+    """The documents' token ids, written in the frame format and read back: a row per document of the mix.
+
+    Defined cases: those of ``token_store`` (a null or empty text has only the end id, repeats are documents of their own).
+    """
     prepare(spark)
     return token_store.token_output(docs.select("doc_id", "text"), token_store.default_tokenizer())
 

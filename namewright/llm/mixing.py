@@ -14,13 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namewright.llm.common import read
+from namewright.llm.quality import Forest, fitted, score_documents
 from namewright.session import cut
 
 SHARE = 1.5
 MOST_TIMES = 2
 WEIGHTS = (3, 1, 2)
-SLICES = 2048
+#: Slices of the keys' logarithm, for a factor of e; with one weight no slice has over a thousandth of the rows.
+SLICES = 512
+LEAST_WEIGHT = 1e-6
 SEED = 17
+#: The column of the classifier's score.
+WEIGHT = "quality_weight"
 
 
 def size_of(text: Column) -> Column:
@@ -28,12 +33,6 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def text_quality(text: Column, size: Column) -> Column:
-    """A cheap weight in (0, 1] where no better score is at hand: 1 for words of usual length, less for odd ones."""
-    usual = F.length(text) / F.greatest(size, F.lit(1))
-    return F.coalesce(1 / (1 + F.abs(usual - 6.5) / 6.5), F.lit(1.0))
-
-
 def _ranked(sources: DataFrame) -> DataFrame:
     """The sources with their place in code point order (null last), counted in ranges rather than in one task."""
     spark = sources.sparkSession
@@ -78,21 +77,23 @@ def mix(docs: DataFrame, quality: str | None = None, share: float = SHARE, most:
 
     ``taken`` counts a document's words in the mix, repeats included: its size for each complete epoch of its source, and
     in the last, partial epoch as many words as the target still holds. The document at the border gives a part of its
-    words, or with ``whole`` all of them if more than half fit. ``quality`` names a column of weights above 0; without it
-    a text statistic is used. Results depend on doc_id and seed alone, so reruns agree.
+    words, or with ``whole`` all of them if more than half fit. ``quality`` names a column of weights; without it all
+    documents weigh the same. Results depend on doc_id, weight and seed alone, so reruns agree.
 
     Defined cases: null texts have size 0 and take nothing; a null source is a source of its own, last in order; repeated
-    rows are documents of their own; null doc_ids share one key; null or non-positive weights count as very small.
+    rows are documents of their own; a null doc_id has a key by its text; null or non-positive weights count as very small;
+    an empty table gives no rows; other columns are ignored.
     """
     size = size_of(F.col("text"))
-    weight = F.col(quality) if quality else text_quality(F.col("text"), size)
-    kept = docs.select("doc_id", "source", size.alias("size"), F.greatest(F.coalesce(weight.cast("double"), F.lit(1e-6)), F.lit(1e-6)).alias("weight"))
+    weight = F.col(quality).cast("double") if quality else F.lit(1.0)
+    weight = F.greatest(F.coalesce(F.nanvl(weight, F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(seed))).otherwise(F.xxhash64("text", F.lit(seed)))
     # 52 bits of the hash give u in (0, 1].
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12) + 1) / F.lit(float(1 << 52))
-    key = -F.log(u) / F.col("weight")
-    # Slices of equal probability for weight 1: any rising function of the key serves.
-    piece = F.least(F.floor((1 - F.exp(-key / 2)) * SLICES), F.lit(SLICES - 1)).cast("int")
-    keyed = cut(kept.withColumn("key", key).withColumn("slice", piece).drop("weight"), "mix-keys")
+    u = (F.shiftrightunsigned(own, 12) + 1) / F.lit(float(1 << 52))
+    kept = docs.select("doc_id", "source", size.alias("size"), (-F.log(u) / weight).alias("key"))
+    # Any rising function of the key serves for slices; by its logarithm they stay small whatever the weights.
+    piece = F.floor(F.log(F.greatest("key", F.lit(1e-18))) * SLICES).cast("int")
+    keyed = cut(kept.withColumn("slice", piece), "mix-keys")
     sums = cut(keyed.groupBy("source", "slice").agg(F.sum("size").alias("n")), "mix-slices")
     goals = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), share, most)
     goals = goals.withColumnRenamed("source", "source_")
@@ -110,16 +111,25 @@ def mix(docs: DataFrame, quality: str | None = None, share: float = SHARE, most:
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, quality: str | None = None, share: float = SHARE, most: float = MOST_TIMES, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, model: Forest | None = None, share: float = SHARE, most: float = MOST_TIMES, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source and any others), each as often as the mix takes it, whole documents only.
 
-    Rows that share a doc_id are taken together, as often as the one that is taken most.
+    With a model, documents weigh by its score. Rows that share a doc_id are taken together, as often as the one that is taken
+    most; documents without a word are never taken.
     """
-    times = mix(docs, quality, share, most, seed, whole=True).where("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    known = docs.select("doc_id", "text", "source")
+    times = mix(weighed(known, model) if model else known, WEIGHT if model else None, share, most, seed, whole=True).where("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
     times = times.withColumnRenamed("doc_id", "taken_id")
     joined = docs.join(times, docs["doc_id"].eqNullSafe(times["taken_id"]))
     return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).drop("_time")
 
 
+def weighed(docs: DataFrame, model: Forest) -> DataFrame:
+    """``docs`` and the weight of each document, which is its quality score."""
+    return score_documents(docs, model, WEIGHT)
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = read(spark, sf_dir, "documents")
+    scored = weighed(docs.select("doc_id", "text", "source"), fitted(docs, read(spark, sf_dir, "labels")))
+    return mix(scored, WEIGHT).select("doc_id", "size", "source_size", "target", "taken")

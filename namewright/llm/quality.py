@@ -207,7 +207,8 @@ def score_features(known: DataFrame, model: Forest) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, model: Forest, column: str = "quality_score") -> DataFrame:
-    """All columns of ``docs`` and the score of each whole text."""
+    """All columns of ``docs`` and the score of each whole text; a column of that name is replaced."""
+    docs = docs.drop(column)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -215,7 +216,15 @@ def score_documents(docs: DataFrame, model: Forest, column: str = "quality_score
         return batch.append_column(column, pa.array(held.value.score(x)))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return arrow_map(docs, run, f"{fields}, {column} double")
+    return arrow_map(docs, run, f"{fields}, `{column}` double")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> Forest:
+    """A model from the labelled rows of ``docs``; only the texts of the bounded sample are looked at."""
+    keep = fold(F.col("doc_id"), folds) != held_out
+    # At most MAX_TRAINING_ROWS ids, so they may be broadcast.
+    picked = F.broadcast(training_ids(labels, keep).select("doc_id"))
+    return train(features(docs.select("doc_id", "text").join(picked, "doc_id", "left_semi")), labels, keep)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:

@@ -72,5 +72,21 @@ def test_higher_quality_is_taken_more(spark):
     assert high > 1.5 * low > 0
 
 
+def test_odd_weights_and_null_ids_fall_into_many_slices(spark):
+    rows = [(None if i % 2 else i, f"one two {i}", "s", [None, 0.0, -1.0, float("nan"), 1e-3, 1.0][i % 6]) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
+    got = mixing.mix(docs, quality="q", share=0.5).collect()
+    assert len(got) == 1200 and sum(r.taken for r in got) == 1800
+    assert sum(r.taken for r in got if r.doc_id is None) > 0
+
+
+def test_the_query_weighs_by_the_classifier(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scored = mixing.weighed(docs, mixing.fitted(docs, labels))
+    assert scored.agg({mixing.WEIGHT: "max"}).first()[0] > 2 * scored.agg({mixing.WEIGHT: "min"}).first()[0]
+    want = mixing.mix(scored, mixing.WEIGHT).select("doc_id", "size", "source_size", "target", "taken")
+    assert Counter(map(tuple, mixing.op10_mix(spark, sf_dir).collect())) == Counter(map(tuple, want.collect()))
+
+
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
