@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namewright.functions.text import decoy_or_fragment, equal_ignoring_spaces, looks_like_name, squashed, strip_mana_token, title_case_start, too_short_for_auto
-from namewright.operators.matching import EPSILON, IndexShard, match_lines
+from namewright.operators.matching import EPSILON, IndexShards, match_lines
+from namewright.session import cut
 
 TRUSTED_SCORE = 95.0
 READING = ["raw", "confidence", "cleaned", "key", "candidates", "status"]
@@ -35,16 +36,23 @@ def guarded_status(status: Column, raw: Column, key: Column, candidates: Column)
     return F.when((status == "auto") & F.coalesce(doubt, F.lit(False)), "review").otherwise(status)
 
 
-def match_readings(lines: DataFrame, index: list[IndexShard]) -> DataFrame:
+def match_readings(lines: DataFrame, index: IndexShards) -> DataFrame:
     """Match each line (raw, confidence and any keys) as read and, where it ends in a cost, without it; the stripped form
-    is kept only if its score is strictly greater. Guards follow."""
-    both = lines.withColumn("_forms", F.array_compact(F.array(F.struct(F.lit(0).alias("form"), F.col("raw").alias("line")), F.when(strip_mana_token(F.col("raw")).isNotNull(), F.struct(F.lit(1).alias("form"), strip_mana_token(F.col("raw")).alias("line"))))))
-    exploded = both.withColumn("_id", F.monotonically_increasing_id()).withColumn("_f", F.explode("_forms")).withColumn("_line", F.col("_f.line"))
-    matched = match_lines(exploded, index, "_line")
-    packed = F.struct(*(F.col(c) for c in ["_line", "cleaned", "key", "candidates", "status"]))
-    better = F.max_by(packed, F.struct(best_score(F.col("candidates")), -F.col("_f.form")))
-    kept = matched.groupBy("_id", *lines.columns).agg(better.alias("m")).select(*lines.columns, "m.cleaned", "m.key", "m.candidates", "m.status", F.col("m._line").alias("_line"))
-    return kept.withColumn("status", guarded_status(F.col("status"), F.col("_line"), F.col("key"), F.col("candidates"))).drop("_line")
+    is kept only if its score is strictly greater. Guards follow, on the line as read.
+
+    Each different line is matched once, and lines and what was found are written, since the cascade uses them several times.
+    """
+    lines = cut(lines, "lines")
+    stripped = strip_mana_token(F.col("raw"))
+    asked = lines.select(F.explode(F.array(F.col("raw"), F.coalesce(stripped, F.col("raw")))).alias("line")).distinct()
+    found = cut(match_lines(asked, index, "line"), "matched-lines")
+    packed = found.select(F.col("line").alias("_at"), F.struct("cleaned", "key", "candidates", "status").alias("m"))
+    rows = lines.withColumn("_stripped", stripped)
+    both = rows.join(packed.withColumnRenamed("m", "_m"), F.col("raw").eqNullSafe(F.col("_at"))).drop("_at")
+    both = both.join(packed.withColumnRenamed("m", "_n"), F.col("_stripped") == F.col("_at"), "left").drop("_at")
+    better = F.coalesce(best_score(F.col("_n.candidates")) > best_score(F.col("_m.candidates")), F.lit(False))
+    kept = both.withColumn("m", F.when(better, F.col("_n")).otherwise(F.col("_m"))).select(*lines.columns, "m.cleaned", "m.key", "m.candidates", "m.status")
+    return kept.withColumn("status", guarded_status(F.col("status"), F.col("raw"), F.col("key"), F.col("candidates")))
 
 
 def trusted(status: Column, raw: Column, key: Column, candidates: Column) -> Column:
@@ -71,7 +79,7 @@ def reread(first: Column, second: Column) -> Column:
     return F.when(second.isNull(), first).when(second["status"] == "auto", second).otherwise(demoted)
 
 
-def reread_untrusted(fast: DataFrame, accurate_lines: DataFrame, index: list[IndexShard], keys: list[str]) -> DataFrame:
+def reread_untrusted(fast: DataFrame, accurate_lines: DataFrame, index: IndexShards, keys: list[str]) -> DataFrame:
     """``fast`` readings with those not trusted replaced or demoted by accurate readings of the same slots."""
     doubt = fast.where(~trusted(F.col("status"), F.col("raw"), F.col("key"), F.col("candidates"))).select(*keys)
     again = match_readings(accurate_lines.join(doubt, keys, "left_semi"), index).select(*keys, reading().alias("_second"))
@@ -79,7 +87,7 @@ def reread_untrusted(fast: DataFrame, accurate_lines: DataFrame, index: list[Ind
     return joined.withColumn("_r", reread(F.col("_first"), F.col("_second"))).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in READING))
 
 
-def fallback(current: DataFrame, variant_lines: DataFrame, index: list[IndexShard], keys: list[str]) -> DataFrame:
+def fallback(current: DataFrame, variant_lines: DataFrame, index: IndexShards, keys: list[str]) -> DataFrame:
     """Rows that are not auto take the best reading of their variants, folded strictly in order of ``variant``."""
     open_ = current.where("status <> 'auto'").select(*keys)
     tried = match_readings(variant_lines.join(open_, keys, "left_semi"), index)

@@ -10,6 +10,7 @@ a bounded number of keys; an index of more keys has more shards, each with a pas
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from namewright.functions.similarity import KeyMatrix, published_score
 from namewright.functions.text import clean, has_letter, normalize
+from namewright.session import cut
 
 #: Fixed values of the accept rule.
 ACCEPT_SCORE, ACCEPT_LEAD, SHORT_KEY_CHARS, SHORT_KEY_SCORE, EPSILON = 90.0, 5.0, 6, 95.0, 1e-6
@@ -57,16 +59,38 @@ class IndexShard:
         return out
 
 
-def shards(index: DataFrame, shard_keys: int = SHARD_KEYS) -> list[IndexShard]:
+class IndexShards:
+    """The shards of an index, of whole entities and bounded size. The driver holds one at a time; a single one is kept."""
+
+    def __init__(self, entries: DataFrame, n: int):
+        self.n = n
+        part = F.pmod(F.xxhash64("oracle_id"), F.lit(n)).cast("int")
+        self.entries = entries if n == 1 else cut(entries.withColumn("_part", part), "index-shards")
+        self._only: IndexShard | None = None
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[IndexShard]:
+        if self.n > 1:
+            for k in range(self.n):
+                yield IndexShard(self.entries.where(F.col("_part") == k).drop("_part").toArrow())
+        else:
+            self._only = self._only or IndexShard(self.entries.toArrow())
+            yield self._only
+
+
+def shards(index: DataFrame, shard_keys: int = SHARD_KEYS) -> IndexShards:
     """The index as shards; one key of an entity is kept once, at its earliest entry, for later ones cannot win."""
     first = index.groupBy("oracle_id", "key").agg(F.min(F.struct("entry_idx", "name", "lang")).alias("f")).select("key", "f.name", "oracle_id", "f.lang", "f.entry_idx")
-    n = max(1, -(-first.count() // shard_keys))
-    part = F.pmod(F.xxhash64("oracle_id"), F.lit(n))
-    return [IndexShard(first.where(part == k).toArrow()) for k in range(n)]
+    return IndexShards(first, max(1, -(-first.count() // shard_keys)))
+
 
+def top_candidates(queries: DataFrame, index: IndexShards, key: str = "key", n: int = CANDIDATES) -> DataFrame:
+    """``queries`` with candidates: the n best entities for column ``key``; empty for a null or empty key.
 
-def top_candidates(queries: DataFrame, index: list[IndexShard], key: str = "key", n: int = CANDIDATES) -> DataFrame:
-    """``queries`` with candidates: the n best entities for column ``key``; empty for a null or empty key."""
+    Several shards are as many passes, written in between, so that a task holds one shard.
+    """
     spark = queries.sparkSession
     kind = pa.list_(pa.struct([("name", pa.string()), ("oracle_id", pa.string()), ("lang", pa.string()), ("key", pa.string()), ("score", pa.float64())]))
     out, names = queries, []
@@ -82,6 +106,9 @@ def top_candidates(queries: DataFrame, index: list[IndexShard], key: str = "key"
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
         out = out.mapInArrow(score, f"{fields}, _top_{k} array<{CANDIDATE}>")
         names.append(f"_top_{k}")
+        if len(index) > 1:
+            out = cut(out, "shard-candidates")
+            held.unpersist()
     ranked = F.array_sort(F.transform(F.concat(*names), lambda c: F.struct((-c["score"]).alias("less"), c["oracle_id"].alias("id"), c.alias("c"))))
     return out.withColumn("candidates", F.transform(F.slice(ranked, 1, n), lambda r: r["c"])).drop(*names)
 
@@ -94,7 +121,7 @@ def accept(candidates: Column, key: Column) -> Column:
     return F.when(good, "auto").otherwise("review")
 
 
-def match_lines(lines: DataFrame, index: list[IndexShard], text: str = "raw") -> DataFrame:
+def match_lines(lines: DataFrame, index: IndexShards, text: str = "raw") -> DataFrame:
     """``lines`` with cleaned, key, candidates (scores as published) and status.
 
     A line without a letter, or whose key is empty, is ``empty`` and has no candidates.

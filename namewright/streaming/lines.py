@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from namewright.operators import cascade
-from namewright.operators.matching import IndexShard
+from namewright.operators.matching import IndexShards
 
 
-def match_stream(lines: DataFrame, index: list[IndexShard], folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def match_stream(lines: DataFrame, index: IndexShards, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Match streaming lines (raw, confidence and any keys) into Parquet under ``folder``.
 
     Each micro-batch overwrites a partition of its own number, so a batch that runs again after a failure leaves one copy.

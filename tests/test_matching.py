@@ -69,6 +69,14 @@ def test_guards(spark):
     assert got == {"PROSPERITY": "review", "Prosperity": "auto", "Waste Land": "review", "Shock 2R": "auto", "OPT": "review", "Shock": "auto"}
 
 
+def test_guards_look_at_the_line_as_read(spark):
+    """The five letters of a line with its cost are no fragment, though those of the name alone would be."""
+    index = shards(spark, [("abc", "ABC", "id", "en", 0)])
+    df = spark.createDataFrame([(1, "ABC UU", 0.5), (2, "ABC", 0.5), (2, "ABC", 0.5), (3, None, 0.5)], "i int, raw string, confidence double")
+    got = sorted((r.i, r.status, r.key) for r in cascade.match_readings(df, index).collect())
+    assert [(i, s) for i, s, _ in got] == [(1, "auto"), (2, "review"), (2, "review"), (3, "empty")] and got[0][2] == "abc"
+
+
 def reading(raw, score, status, confidence=0.5):
     return Row(raw=raw, confidence=confidence, cleaned=raw, key=raw, candidates=[Row(name=raw, oracle_id=raw, lang="en", key=raw, score=float(score))], status=status)
 
