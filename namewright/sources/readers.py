@@ -52,11 +52,10 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results_for(images: DataFrame, results: DataFrame, image: str = "image") -> DataFrame:
-    """Each image with its result: of the file named as the whole image path (slashes as underscores) or, failing that, as its
-    base name without the extension. Images without a result keep null."""
-    stem = F.regexp_replace(F.col(image), r"\.[^./]+$", "")
-    base = F.regexp_extract(stem, r"([^/]+)$", 1)
-    wanted = images.withColumn("_stems", F.array_distinct(F.array(stem, base)))
+    """Each image with its result: of the file named as the image's base name without its extension or, failing that, with it
+    (``img.json`` before ``img.jpg.json``). Images without a result keep null."""
+    base = F.regexp_extract(image, r"([^/]+)$", 1)
+    wanted = images.withColumn("_stems", F.array_distinct(F.array(F.regexp_replace(base, r"(?<=.)\.[^.]+$", ""), base)))
     asked = wanted.select(image, F.posexplode("_stems").alias("_rank", "stem"))
     kept = [c for c in results.columns if c not in (image, "stem")]
     met = asked.join(results, "stem").groupBy(asked[image]).agg(F.min_by(F.struct(*(results[c] for c in kept)), "_rank").alias("_r"))

@@ -15,8 +15,9 @@ def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def write_results(photos: DataFrame, folder: str, image: str = "image") -> None:
-    """One JSON file per photo at <folder>/<image>.json, written by the executors. ``folder`` must be shared by them all."""
-    packed = photos.select(F.col(image).alias("image"), F.to_json(F.struct(*photos.columns), {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
+    """One JSON file per photo at <folder>/<base name of image>.json, written by the executors. ``folder`` must be shared by them
+    all; of photos with one base name the last written stays."""
+    packed = photos.select(F.regexp_extract(image, r"([^/]+)/*$", 1).alias("image"), F.to_json(F.struct(*photos.columns), {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
 
     def write(rows: Iterator[Row]) -> None:
         fs, root = _open(folder)

@@ -88,9 +88,9 @@ def test_sources(spark, tmp_path):
         raise AssertionError("version 2 was read")
     except ValueError:
         pass
-    images = spark.createDataFrame([("x/one.jpg",), ("two.jpg",), ("none.jpg",)], "image string")
-    got = spark.createDataFrame([("one", "ok"), ("x/one", "retake"), ("two", "ok")], "stem string, status string")
-    assert {r.image: r.status for r in readers.results_for(images, got).collect()} == {"x/one.jpg": "retake", "two.jpg": "ok", "none.jpg": None}
+    images = spark.createDataFrame([("x/one.jpg",), ("two.jpg",), ("a/img1.jpg",), ("both.jpg",), ("file:///p/q.tar.gz",), ("none.jpg",)], "image string")
+    got = spark.createDataFrame([("one", "ok"), ("two", "ok"), ("img1.jpg", "retake"), ("both", "ok"), ("both.jpg", "retake"), ("q.tar", "ok")], "stem string, status string")
+    assert {r.image: r.status for r in readers.results_for(images, got).collect()} == {"x/one.jpg": "ok", "two.jpg": "ok", "a/img1.jpg": "retake", "both.jpg": "ok", "file:///p/q.tar.gz": "ok", "none.jpg": None}
     manifest = '{"spec_version": 1, "set": "s", "images": {"a.jpg": {"config": "C4", "level": "easy", "columns": [{"column": 1, "n_cards": 1, "slots": [{"slot": 1, "oracle_id": "o", "lang": "en"}]}]}}}'
     (tmp_path / "manifest.json").write_text(manifest)
     rows = readers.manifest_slots(readers.read_manifest(spark, str(tmp_path / "manifest.json"))).collect()

@@ -81,6 +81,10 @@ def test_results_are_written_and_read_back(spark, photos, tmp_path):
     writers.write_results(got, str(tmp_path / "out"))
     back = readers.read_results(spark, str(tmp_path / "out"))
     (row,) = back.collect()
+    named = got.withColumn("image", F.lit("file:///some/where/img1.jpg"))
+    writers.write_results(named, str(tmp_path / "named"))
+    again = readers.results_for(named.select("image"), readers.read_results(spark, str(tmp_path / "named"))).collect()
+    assert [(r.image, r.status) for r in again] == [("file:///some/where/img1.jpg", row.status)]
     assert row.image == "four" and row.stem == "four" and len(row.columns) == 4 and row.columns[0].slots[0].name == "Shock"
 
 
