@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import json
+import os
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,13 +36,25 @@ def column(spark, values, expression):
     return [r.y for r in df.select("i", expression(F.col("x")).alias("y")).orderBy("i").collect()]
 
 
-@pytest.fixture(scope="module")
-def vectors():
-    try:
-        with open(VECTORS, encoding="utf-8") as f:
-            return json.load(f)["cases"]
-    except OSError:
-        pytest.skip("no golden vectors here")
+def test_golden_cases(spark):
+    """All cases of a file that GOLDEN_CASES names: cleaned, key, best score and status of each line."""
+    path = os.environ.get("GOLDEN_CASES")
+    if not path:
+        pytest.skip("GOLDEN_CASES names no file")
+    with open(path, encoding="utf-8") as f:
+        cases = json.load(f)["cases"]
+    cleaned = column(spark, [c["raw"] for c in cases], lambda x: F.when(t.has_letter(x), t.clean(x)).otherwise(""))
+    assert cleaned == [c["cleaned"] for c in cases]
+    assert column(spark, cleaned, t.normalize) == [c["key"] for c in cases]
+    for c in cases:
+        if c.get("best_name"):
+            assert sim.ratio(c["key"], t.normalize_key(c["best_name"])) == pytest.approx(c["best_score"], abs=0.01)
+    scored = [c for c in cases if c["status"] != "empty"]
+    candidate = "array<struct<score:double>>"
+    rows = [(i, [(float(c["best_score"]),), (float(c["runner_up_score"] or 0.0),)], c["key"]) for i, c in enumerate(scored)]
+    df = spark.createDataFrame(rows, f"i int, candidates {candidate}, key string")
+    got = [r.s for r in df.select("i", accept(F.col("candidates"), F.col("key")).alias("s")).orderBy("i").collect()]
+    assert got == [c["status"] for c in scored] and len(cases) > 50
 
 
 def test_normalize(spark):
