@@ -57,50 +57,53 @@ def slot_band(image: np.ndarray, m: np.ndarray, slot: int, shift: float) -> tupl
 
 def slot_crops(photos: DataFrame, plan: DataFrame, params: dict | None = None) -> DataFrame:
     """Primary crops of every readable column's slots: down a column each slot is searched for around the drift predicted from
-    those above it, so a column is one sequential scan; columns are independent rows."""
+    those above it, so a column is one sequential scan. A photo's columns are one row, so its pixels are sent once."""
     params = params or {}
-    wanted = plan.where("readable").select("image", "column", "m", "n_cards")
+    wanted = plan.where("readable").groupBy("image").agg(F.sort_array(F.collect_list(F.struct("column", "n_cards", "m"))).alias("columns"))
     joined = wanted.join(photos.withColumnRenamed("path", "image"), "image")
 
     def run(batches):
         for batch in batches:
             for p in batch.to_pylist():
-                image, m = kernels.image_of(p["pixels"], p["width"], p["height"]), np.array(p["m"]).reshape(3, 3)
-                offsets: list[float] = []
-                rows = []
-                for slot in range(1, p["n_cards"] + 1):
-                    shift = layout.predict_shift(offsets)
-                    crop, offset = kernels.crop_variant(*slot_band(image, m, slot, shift), shift, "primary", **params)
-                    offsets.append(offset)
-                    rows.append({"image": p["image"], "column": p["column"], "slot": slot, "variant": 0, "shift": shift, "width": crop.shape[1], "height": crop.shape[0], "pixels": kernels.pixels_of(crop)})
-                yield pa.RecordBatch.from_pylist(rows, _CROP_SCHEMA)
+                image = kernels.image_of(p["pixels"], p["width"], p["height"])
+                for c in p["columns"]:
+                    m, offsets, rows = np.array(c["m"]).reshape(3, 3), [], []
+                    for slot in range(1, c["n_cards"] + 1):
+                        shift = layout.predict_shift(offsets)
+                        crop, offset = kernels.crop_variant(*slot_band(image, m, slot, shift), shift, "primary", **params)
+                        offsets.append(offset)
+                        rows.append({"image": p["image"], "column": c["column"], "slot": slot, "variant": 0, "shift": shift, "width": crop.shape[1], "height": crop.shape[0], "pixels": kernels.pixels_of(crop)})
+                    yield pa.RecordBatch.from_pylist(rows, _CROP_SCHEMA)
 
-    return joined.select("image", "column", "m", "n_cards", "width", "height", "pixels").mapInArrow(run, CROP)
+    return joined.select("image", "columns", "width", "height", "pixels").mapInArrow(run, CROP)
 
 
 _CROP_SCHEMA = pa.schema([("image", pa.string()), ("column", pa.int64()), ("slot", pa.int32()), ("variant", pa.int32()), ("shift", pa.float64()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
 
 
 def variant_crops(photos: DataFrame, plan: DataFrame, crops: DataFrame, open_slots: DataFrame, params: dict | None = None) -> DataFrame:
-    """The other crops of the slots that are still open, in one round; variants that do not exist give no row."""
+    """The other crops of the slots that are still open, in one round; variants that do not exist give no row. A photo's slots
+    are one row, so its pixels are sent once."""
     params = params or {}
     asked = crops.select(*KEYS, "shift").join(open_slots.select(*KEYS), KEYS, "left_semi")
-    joined = asked.join(plan.select("image", "column", "m"), ["image", "column"]).join(photos.withColumnRenamed("path", "image"), "image")
+    slot = F.struct(*KEYS[1:], "shift", "m")
+    listed = asked.join(plan.select("image", "column", "m"), ["image", "column"]).groupBy("image").agg(F.sort_array(F.collect_list(slot)).alias("slots"))
+    joined = listed.join(photos.withColumnRenamed("path", "image"), "image")
 
     def run(batches):
         for batch in batches:
-            rows = []
             for p in batch.to_pylist():
-                image, m = kernels.image_of(p["pixels"], p["width"], p["height"]), np.array(p["m"]).reshape(3, 3)
-                band = slot_band(image, m, p["slot"], p["shift"])
-                for k, variant in enumerate(VARIANTS, 1):
-                    found = kernels.crop_variant(*band, p["shift"], variant, **params)
-                    if found is not None:
-                        crop = found[0]
-                        rows.append({"image": p["image"], "column": p["column"], "slot": p["slot"], "variant": k, "shift": p["shift"], "width": crop.shape[1], "height": crop.shape[0], "pixels": kernels.pixels_of(crop)})
-            yield pa.RecordBatch.from_pylist(rows, _CROP_SCHEMA)
-
-    return joined.select(*KEYS, "shift", "m", "width", "height", "pixels").mapInArrow(run, CROP)
+                image, rows = kernels.image_of(p["pixels"], p["width"], p["height"]), []
+                for s in p["slots"]:
+                    band = slot_band(image, np.array(s["m"]).reshape(3, 3), s["slot"], s["shift"])
+                    for k, variant in enumerate(VARIANTS, 1):
+                        found = kernels.crop_variant(*band, s["shift"], variant, **params)
+                        if found is not None:
+                            crop = found[0]
+                            rows.append({"image": p["image"], "column": s["column"], "slot": s["slot"], "variant": k, "shift": s["shift"], "width": crop.shape[1], "height": crop.shape[0], "pixels": kernels.pixels_of(crop)})
+                yield pa.RecordBatch.from_pylist(rows, _CROP_SCHEMA)
+
+    return joined.select("image", "slots", "width", "height", "pixels").mapInArrow(run, CROP)
 
 
 def read_lines(crops: DataFrame, reader: Reader, batch: int = 4) -> DataFrame:
