@@ -80,6 +80,10 @@ ORACLES = {
     "adaptive_threshold": f"""WITH {_PIXELS}, d AS (SELECT a.vec_id, a.y, a.x, a.p, sum(b.p) / count(*) AS mean FROM im a JOIN im b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL)
       SELECT vec_id, string_agg(CASE WHEN p < mean - 7 THEN 'ff' ELSE '00' END, '' ORDER BY y, x) AS pixels FROM d GROUP BY 1""",
     "invert": f"WITH {_PIXELS} SELECT vec_id, string_agg(printf('%02x', 255 - p), '' ORDER BY y, x) AS pixels FROM im GROUP BY 1",
+    "two_means": f"""WITH {_PIXELS}, l AS (SELECT vec_id, list(p::DOUBLE) AS v, min(p)::DOUBLE AS low, max(p)::DOUBLE AS high FROM im GROUP BY 1)
+      SELECT vec_id, CASE WHEN high - low >= 30 THEN round(list_reduce(list_transform(range(10), lambda i: i::DOUBLE), lambda t, i:
+        CASE WHEN len(list_filter(v, lambda x: x > t)) IN (0, len(v)) THEN t ELSE (list_avg(list_filter(v, lambda x: x > t)) + list_avg(list_filter(v, lambda x: x <= t))) / 2 END,
+        (high + low) / 2), 6) END AS threshold FROM l""",
     "row_energy_peak": f"WITH {_PIXELS}, e AS (SELECT a.vec_id, a.y, sum(abs(b.p - a.p))::BIGINT AS energy FROM im a JOIN im b ON a.vec_id = b.vec_id AND a.y = b.y AND b.x = a.x + 1 GROUP BY ALL) SELECT vec_id, y AS \"row\", energy FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY energy DESC, y DESC) = 1",
     "ctc_greedy": """WITH p AS (SELECT vec_id, i // 4 AS t, i % 4 AS c, v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_id, t ORDER BY v DESC, c DESC) = 1),
       l AS (SELECT *, lag(c) OVER (PARTITION BY vec_id ORDER BY t) AS before FROM b), e AS (SELECT *, c > 0 AND (before IS NULL OR before <> c) AS emits FROM l)
