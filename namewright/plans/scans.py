@@ -14,6 +14,9 @@ from namewright.functions import geometry, kernels, markers
 from namewright.operators import evaluate, index, layout, profile, results
 from namewright.plans.names import table
 
+#: Workers that share the lines of a photo.
+READER_WORKERS = 8
+
 # --- C6: assembly -----------------------------------------------------------------------------------------------------
 
 
@@ -158,8 +161,16 @@ def set_stats(spark, sf_dir):
 def batch_schedule(spark, sf_dir):
     """Reader calls over documents sorted by length: the size of a call by the number of lines and of workers."""
     groups = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("lines"), F.sum("n_chars").alias("px"))
-    size = F.greatest(F.lit(1), F.least(F.lit(4), F.ceil(F.col("lines") / 8))).cast("long")
-    return groups.select("source", "lines", size.alias("batch"), F.ceil(F.col("lines") / size).cast("long").alias("calls"), "px")
+
+    def sizes(batches):
+        for batch in batches:
+            lines = batch.column(1).to_pylist()
+            size = [kernels.batch_sizes(n, READER_WORKERS) for n in lines]
+            calls = [-(-n // m) for n, m in zip(lines, size, strict=True)]
+            columns = [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(calls, pa.int64()), batch.column(2)]
+            yield pa.record_batch(columns, names=["source", "lines", "batch", "calls", "px"])
+
+    return groups.mapInArrow(sizes, "source string, lines long, batch long, calls long, px long")
 
 
 # --- index ------------------------------------------------------------------------------------------------------------
@@ -215,7 +226,7 @@ def drift_predict(spark, sf_dir):
 
 def drift_feedback(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("value") % 8).alias("v"))
-    return layout.drift_feedback(rows, ["user_id"], ["ts", "event_id"], "v").select("event_id", "shift", "offset")
+    return layout.drift_feedback(rows, ["user_id"], ["ts", "event_id"], "v").select("event_id", (F.round("shift", 6) + 0.0).alias("shift"), (F.round("offset", 6) + 0.0).alias("offset"))
 
 
 def _marks(spark, sf_dir):
@@ -249,6 +260,32 @@ def column_plan(spark, sf_dir):
     return o.select("o_orderkey", layout.planned_cards(stop).cast("long").alias("n_cards"), box["y0"].alias("y0"), box["y1"].alias("y1"), geometry.marker_id(F.col("o_custkey") % 6 + 1, "right").alias("marker"))
 
 
+def _found_columns(spark, sf_dir):
+    """Nations as found columns of five photos; photo 4 has none. Their maps to millimetres are scales with a shift."""
+    n = table(spark, sf_dir, "nation").where("n_nationkey % 5 < 4")
+    image = F.col("n_nationkey") % 5
+    numbers = (F.lit(0.5), F.lit(0.0), 2.0 * image, F.lit(0.0), F.lit(0.5), F.lit(3.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    inverse = F.array(*(x.cast("double") for x in numbers))
+    return n.select(image.alias("image"), F.floor(F.col("n_nationkey") / 5 + 1).alias("column"), inverse.alias("inverse"), inverse.alias("m"))
+
+
+def header_plausible(spark, sf_dir):
+    found = layout.plausible_header(_marks(spark, sf_dir), _found_columns(spark, sf_dir))
+    return found.select("image", "id", "cx", "cy", "plausible", "n_columns")
+
+
+def photo_columns(spark, sf_dir):
+    """Config, stop cards and planned columns of photos whose header markers are suppliers and whose stop markers are customers."""
+    columns = _found_columns(spark, sf_dir)
+    c = table(spark, sf_dir, "customer")
+    x, y = (F.col("c_custkey") * 13 % 200).cast("double"), (F.col("c_custkey") * 11 % 500).cast("double")
+    corners = F.array(*(F.array(x + dx, y + dy) for dx, dy in ((-30, -30), (30, -30), (30, 30), (-30, 30))))
+    stops = c.where("c_custkey % 7 = 0").select((F.col("c_custkey") % 5).alias("image"), F.lit(geometry.STOP_ID).alias("id"), x.alias("cx"), y.alias("cy"), corners.alias("corners"), F.col("c_custkey").alias("place"))
+    photos = layout.photo_config(_marks(spark, sf_dir), columns, spark.range(5).select(F.col("id").alias("image")))
+    plan = layout.column_plan(photos, columns, layout.stop_slots(columns, stops))
+    return plan.select("image", "config", "column", "readable", "stop_card", F.col("n_cards").cast("long").alias("n_cards"))
+
+
 def dict_lookup(spark, sf_dir):
     words = spark.createDataFrame(list(enumerate(markers.WORDS)), "id int, word int")
     codes = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 40503 % 65536).cast("int").alias("code"))
@@ -271,12 +308,15 @@ def _images(frame: pa.RecordBatch) -> list[np.ndarray]:
 
 def _kernel(spark, sf_dir, fn, schema: str):
     """Rows of a function of (vec_id, 8 x 8 image)."""
+    arrow = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    fields = [f.split(" ") for f in f"vec_id long, {schema}".split(", ")]
 
     def run(batches):
+        kinds = pa.schema([(name, arrow[kind]) for name, kind in fields])
         for batch in batches:
             rows = [{"vec_id": v, **fn(im)} for v, im in zip(batch.column(0).to_pylist(), _images(batch), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+                yield pa.RecordBatch.from_pylist(rows, kinds)
 
     return _arrays(spark, sf_dir).mapInArrow(run, f"vec_id long, {schema}")
 
@@ -307,13 +347,13 @@ def clahe(spark, sf_dir):
 
 
 def row_energy_peak(spark, sf_dir):
-    """The row with the most gradient energy, the last of equals, as a text line is found."""
+    """The lines that the line finder sees in a band of 160 rows: the best one's rows and where a second one starts."""
 
     def peak(im):
-        e = np.abs(np.diff(im.astype(np.int64), axis=1)).sum(axis=1)
-        return {"row": int(len(e) - 1 - e[::-1].argmax()), "energy": int(e.max())}
+        (y0, y1, _), *others = kernels.text_rows(im.repeat(20, axis=0), 0.0, 0.0, 6.4)
+        return {"y0": y0, "y1": y1, "second": others[0][0] if others else None}
 
-    return _kernel(spark, sf_dir, peak, "row long, energy long")
+    return _kernel(spark, sf_dir, peak, "y0 long, y1 long, second long")
 
 
 def right_trim(spark, sf_dir):
@@ -340,43 +380,46 @@ def ctc_greedy(spark, sf_dir):
 
 
 def homography_fit(spark, sf_dir):
-    """A homography through four points moved by the vector's numbers, and how far it carries them from where they should go."""
+    """Homographies from a square to four corners moved by eight numbers of the vector: where the square's centre goes."""
 
     def run(batches):
         square = np.array([(0, 0), (10, 0), (10, 10), (0, 10)], np.float64)
         for batch in batches:
             rows = []
             for v, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                target = square * 3 + np.array(row[:8]).reshape(4, 2) * 5
-                m = geometry.fit_homography(square, target)
-                off = float(np.abs(geometry.project(m, square) - target).max())
-                rows.append({"vec_id": v, "exact": off < 1e-6})
+                for quad, moves in enumerate(np.array(row, np.float64).reshape(-1, 4, 2)):
+                    m = geometry.fit_homography(square, square * 3 + moves * 5)
+                    (x, y), = geometry.project(m, np.array([(5, 5)]))
+                    rows.append({"vec_id": v, "quad": quad, "x": round(float(x), 4), "y": round(float(y), 4)})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 
-    return _arrays(spark, sf_dir).mapInArrow(run, "vec_id long, exact boolean")
+    return _arrays(spark, sf_dir).mapInArrow(run, "vec_id long, quad long, x double, y double")
 
 
 def marker_detect(spark, sf_dir):
-    """Every word of the dictionary rendered, turned by its number and found again, over the nations' keys."""
+    """Every word of the dictionary rendered, turned by its nation's number and detected: the id seen and where its first corner is."""
 
     def run(batches):
+        kinds = pa.schema([(n, pa.int64()) for n in ("nation", "marker", "seen", "x", "y")])
         for batch in batches:
             rows = []
             for key in batch.column(0).to_pylist():
                 for marker in (2 * key, 2 * key + 1):
                     image = np.rot90(markers.render(marker, cell=12, quiet=3), key % 4)
-                    found = markers.detect(np.ascontiguousarray(image))
-                    rows.append({"nation": key, "marker": marker, "found": [m for m, _ in found] == [marker]})
+                    for seen, corners in markers.detect(np.ascontiguousarray(image)) or [(None, None)]:
+                        x, y = (None, None) if corners is None else (round(float(c)) for c in corners[0])
+                        rows.append({"nation": key, "marker": marker, "seen": seen, "x": x, "y": y})
             if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+                yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long")).mapInArrow(run, "nation long, marker long, found boolean")
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long")).mapInArrow(run, "nation long, marker long, seen long, x long, y long")
 
 
 _NAMES = [
     column_status, result_nested, result_json, status_summary, eval_tally, eval_phantom, eval_missing, eval_columns, eval_verdict, profile_nearest_rank, profile_mean, profile_share, profile_stages,
     crops_per_slot, gate_summary, reader_bakeoff, set_stats, batch_schedule, index_build, index_solvable, pool_quota, pool_category, drift_predict, drift_feedback, marker_pairs, stop_slot, column_plan,
+    header_plausible, photo_columns,
     dict_lookup, downscale, adaptive_threshold, invert, warp, clahe, row_energy_peak, right_trim, two_means, ctc_greedy, homography_fit, marker_detect,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}

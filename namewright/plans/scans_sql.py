@@ -13,6 +13,12 @@ _CENTS = "cents AS (SELECT event_type, user_id, floor(value * 100)::BIGINT AS ce
 _PIXELS = """px AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
   im AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, greatest(least(floor(v * 128) + 128, 255), 0)::BIGINT AS p FROM px)"""
 
+# Header markers against found columns: each marker should sit where the column's map puts it.
+_HEADER = """marks AS (SELECT s_suppkey % 5 AS image, s_suppkey * 7 % 12 AS id, (s_suppkey * 13 % 17 + CASE WHEN s_suppkey * 7 % 2 = 1 THEN 40 ELSE 0 END)::DOUBLE AS cx, (s_suppkey * 11 % 5)::DOUBLE AS cy FROM supplier),
+  found AS (SELECT n_nationkey % 5 AS image, n_nationkey // 5 + 1 AS col, 2.0::DOUBLE * (n_nationkey % 5) AS dx FROM nation WHERE n_nationkey % 5 < 4),
+  pairs AS (SELECT m.*, f.col, 0.5::DOUBLE * cx + f.dx AS x, 0.5::DOUBLE * cy + 3 AS y, (id // 2 + 1 - f.col) * 70 AS away FROM marks m LEFT JOIN found f ON m.image = f.image),
+  header AS (SELECT image, id, cx, cy, coalesce(bool_or(sqrt((x - CASE WHEN id % 2 = 0 THEN 15 ELSE 55 END - away) * (x - CASE WHEN id % 2 = 0 THEN 15 ELSE 55 END - away) + (y - 12.5) * (y - 12.5)) < 10 + 0.03::DOUBLE * abs(away)), false) AS plausible, count(col) AS n_columns FROM pairs GROUP BY image, id, cx, cy)"""
+
 
 def _tally(groupings: list[str], counters: list[str], rows: str) -> str:
     sums = ", ".join(f"sum({c})::BIGINT AS {c}" for c in counters)
@@ -66,6 +72,16 @@ ORACLES = {
       k AS (SELECT *, list_avg(list_transform(near, lambda p: p[1])) AS mk, list_avg(list_transform(near, lambda p: p[2])) AS mo FROM n),
       s AS (SELECT *, list_sum(list_transform(near, lambda p: (p[1] - mk) * (p[2] - mo))) / list_sum(list_transform(near, lambda p: (p[1] - mk) * (p[1] - mk))) AS slope FROM k)
       SELECT event_id, 0.0::DOUBLE + round(CASE WHEN len(o) = 0 THEN 0.0 WHEN len(near) < 4 THEN med ELSE least(greatest(mo + slope * (len(o) - mk), med - 2.5), med + 2.5) END, 6) AS shift FROM s""",
+    "drift_feedback": """WITH RECURSIVE e AS (SELECT event_id, user_id, value % 8 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+      step AS (
+        SELECT NULL::BIGINT AS event_id, user_id, 0::BIGINT AS i, 0.0::DOUBLE AS shift, 0.0::DOUBLE AS found, []::DOUBLE[] AS o FROM (SELECT DISTINCT user_id FROM events)
+        UNION ALL
+        SELECT event_id, user_id, i, shift, least(greatest(v, shift - 2.5), shift + 2.5), list_append(o, least(greatest(v, shift - 2.5), shift + 2.5))[-8:] FROM (
+          SELECT *, CASE WHEN len(o) = 0 THEN 0.0 WHEN len(near) < 4 THEN med ELSE least(greatest(mo + list_sum(list_transform(near, lambda p: (p[1] - mk) * (p[2] - mo))) / list_sum(list_transform(near, lambda p: (p[1] - mk) * (p[1] - mk))) * (len(o) - mk), med - 2.5), med + 2.5) END::DOUBLE AS shift FROM (
+            SELECT *, list_avg(list_transform(near, lambda p: p[1])) AS mk, list_avg(list_transform(near, lambda p: p[2])) AS mo FROM (
+              SELECT *, list_filter(list_zip(range(len(o))::DOUBLE[], o), lambda p: abs(p[2] - med) <= 2.5) AS near FROM (
+                SELECT e.event_id, e.user_id, e.i, e.v, o, list_sort(o)[len(o) // 2 + 1] AS med FROM step JOIN e ON e.user_id = step.user_id AND e.i = step.i + 1)))))
+      SELECT event_id, 0.0::DOUBLE + round(shift, 6) AS shift, 0.0::DOUBLE + round(found, 6) AS "offset" FROM step WHERE i > 0""",
     "marker_pairs": """WITH m AS (SELECT s_suppkey % 5 AS image, s_suppkey * 7 % 12 AS id, (s_suppkey * 13 % 17 + CASE WHEN s_suppkey * 7 % 2 = 1 THEN 40 ELSE 0 END)::DOUBLE AS cx, (s_suppkey * 11 % 5)::DOUBLE AS cy, (15 + s_suppkey % 6)::DOUBLE AS side FROM supplier),
       p AS (SELECT l.image, l.id // 2 + 1 AS col, abs(sqrt((l.cx - r.cx) * (l.cx - r.cx) + (l.cy - r.cy) * (l.cy - r.cy)) / ((l.side + r.side) / 2) / (40.0::DOUBLE / 18.0::DOUBLE) - 1) AS error FROM m l JOIN m r ON l.image = r.image AND l.id % 2 = 0 AND r.id = l.id + 1 AND greatest(l.side, r.side) < 1.3 * least(l.side, r.side))
       SELECT image, col AS "column", round(min(error), 9) AS error FROM p WHERE error < 0.2 GROUP BY ALL""",
@@ -73,6 +89,13 @@ ORACLES = {
       SELECT event_id, CASE WHEN x >= 0 AND x < 70 AND y >= 25 AND abs(x - 35) < 10 AND abs(side / 30.0::DOUBLE - 1) < 0.2 THEN round((y - side / 2 - 3 - 25) / 10)::BIGINT + 1 END AS stop_slot FROM p""",
     "column_plan": """SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN least(greatest(o_custkey % 30 - 5, 0), 20) END, 20)::BIGINT AS n_cards, 25.0::DOUBLE + 10.0::DOUBLE * (o_custkey % 20) + 0.5::DOUBLE - 1.5::DOUBLE AS y0,
       25.0::DOUBLE + 10.0::DOUBLE * (o_custkey % 20) + 10.0::DOUBLE - 0.5::DOUBLE + 1.5::DOUBLE AS y1, 2 * (o_custkey % 6) + 1 AS marker FROM orders""",
+    "header_plausible": f"WITH {_HEADER} SELECT image, id, cx, cy, plausible, n_columns FROM header",
+    "photo_columns": f"""WITH {_HEADER}, photos AS (SELECT r.image, CASE WHEN bool_or(h.id BETWEEN 8 AND 11 AND (n_columns = 0 OR plausible)) THEN 'C6' ELSE 'C4' END AS config FROM (SELECT unnest(range(5)) AS image) r LEFT JOIN header h USING (image) GROUP BY 1),
+      stops AS (SELECT c_custkey AS place, c_custkey % 5 AS image, (c_custkey * 13 % 200)::DOUBLE AS cx, (c_custkey * 11 % 500)::DOUBLE AS cy FROM customer WHERE c_custkey % 7 = 0),
+      met AS (SELECT f.image, f.col, place, round((0.5::DOUBLE * (cy - 30) + 3 - 3 - 25) / 10)::BIGINT + 1 AS slot FROM found f JOIN stops s ON s.image = f.image AND 0.5::DOUBLE * cx + dx >= 0 AND 0.5::DOUBLE * cx + dx < 70 AND 0.5::DOUBLE * cy + 3 >= 25 AND abs(0.5::DOUBLE * cx + dx - 35) < 10),
+      firsts AS (SELECT image, col, arg_min(slot, place) AS slot FROM met GROUP BY ALL)
+      SELECT p.image, config, a.col AS "column", f.image IS NOT NULL AS readable, slot IS NOT NULL AS stop_card, CASE WHEN slot IS NULL THEN 20 ELSE least(greatest(slot - 1, 0), 20) END::BIGINT AS n_cards
+      FROM photos p JOIN (SELECT unnest(range(1, 7)) AS col) a ON a.col <= CASE WHEN config = 'C6' THEN 6 ELSE 4 END LEFT JOIN found f ON f.image = p.image AND f.col = a.col LEFT JOIN firsts s ON s.image = p.image AND s.col = a.col""",
     "dict_lookup": f"""WITH w AS (SELECT unnest(range(50)) AS id, unnest([{', '.join(map(str, WORDS))}])::INT AS word), c AS (SELECT (l_partkey * 40503 % 65536)::INT AS code, count(*) AS n FROM lineitem GROUP BY 1),
       d AS (SELECT code, id, bit_count(xor(code, word))::BIGINT AS errors FROM c, w WHERE bit_count(xor(code, word)) <= 4), b AS (SELECT code, min(errors) AS errors FROM d GROUP BY 1),
       f AS (SELECT d.code, min(d.id) AS id, min(d.errors) AS errors FROM d JOIN b ON d.code = b.code AND d.errors = b.errors GROUP BY d.code HAVING count(*) = 1) SELECT c.code, n, id, errors FROM c LEFT JOIN f ON c.code = f.code""",
@@ -84,10 +107,28 @@ ORACLES = {
       SELECT vec_id, CASE WHEN high - low >= 30 THEN round(list_reduce(list_transform(range(10), lambda i: i::DOUBLE), lambda t, i:
         CASE WHEN len(list_filter(v, lambda x: x > t)) IN (0, len(v)) THEN t ELSE (list_avg(list_filter(v, lambda x: x > t)) + list_avg(list_filter(v, lambda x: x <= t))) / 2 END,
         (high + low) / 2), 6) END AS threshold FROM l""",
-    "row_energy_peak": f"WITH {_PIXELS}, e AS (SELECT a.vec_id, a.y, sum(abs(b.p - a.p))::BIGINT AS energy FROM im a JOIN im b ON a.vec_id = b.vec_id AND a.y = b.y AND b.x = a.x + 1 GROUP BY ALL) SELECT vec_id, y AS \"row\", energy FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY energy DESC, y DESC) = 1",
+    "row_energy_peak": f"""WITH {_PIXELS}, e AS (SELECT a.vec_id, a.y, sum(abs(b.p - a.p))::BIGINT AS energy FROM im a JOIN im b ON a.vec_id = b.vec_id AND a.y = b.y AND b.x = a.x + 1 GROUP BY ALL),
+      l AS (SELECT vec_id, list(energy ORDER BY y) AS es FROM e GROUP BY 1), c AS (SELECT vec_id, es, unnest(range(35, 96)) AS c FROM l),
+      f AS (SELECT vec_id, c, list_sum(list_transform(range(c - 18, c + 18), lambda r: es[r // 20 + 1])) AS f FROM c),
+      n AS (SELECT *, lag(f) OVER w AS f0, lead(f) OVER w AS f1 FROM f WINDOW w AS (PARTITION BY vec_id ORDER BY c)),
+      best AS (SELECT vec_id, c AS top FROM n QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY f DESC, c DESC) = 1),
+      second AS (SELECT vec_id, c AS other FROM n JOIN best USING (vec_id) WHERE f >= f0 AND f >= f1 AND abs(c - top) >= 24 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY f DESC, c DESC) = 1)
+      SELECT vec_id, greatest(top - 38, 0)::BIGINT AS y0, (top + 38)::BIGINT AS y1, greatest(other - 38, 0 * other)::BIGINT AS "second" FROM best LEFT JOIN second USING (vec_id)""",
+    "right_trim": f"""WITH {_PIXELS}, k AS (SELECT a.vec_id, a.x, 2 * sum(abs(b.p - a.p))::BIGINT AS energy FROM im a JOIN im b ON a.vec_id = b.vec_id AND a.y = b.y AND b.x = a.x + 1 GROUP BY ALL),
+      e AS (SELECT v.vec_id, c AS x, coalesce(k.energy, 0) AS energy FROM (SELECT vec_id, unnest(range(64)) AS c FROM embeddings) v LEFT JOIN k ON k.vec_id = v.vec_id AND c = k.x * 8 + 7),
+      q AS (SELECT vec_id, list(energy ORDER BY energy) AS s FROM e GROUP BY 1),
+      b AS (SELECT vec_id, x, x - row_number() OVER (PARTITION BY vec_id ORDER BY x) AS island FROM e JOIN q USING (vec_id) WHERE s[60] > s[7] AND energy <= s[7] + 0.2::DOUBLE * (s[60] - s[7])),
+      r AS (SELECT vec_id, min(x) AS a, max(x) AS z FROM b GROUP BY vec_id, island HAVING max(x) - min(x) >= 6 AND max(x) >= 20),
+      t AS (SELECT vec_id, arg_max(a, z) AS a FROM r GROUP BY 1)
+      SELECT vec_id, CASE WHEN coalesce(a, 0) = 0 THEN 64 ELSE greatest(least(a + 2, 64), 1) END::BIGINT AS "end" FROM q LEFT JOIN t USING (vec_id)""",
     "ctc_greedy": """WITH p AS (SELECT vec_id, i // 4 AS t, i % 4 AS c, v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_id, t ORDER BY v DESC, c DESC) = 1),
       l AS (SELECT *, lag(c) OVER (PARTITION BY vec_id ORDER BY t) AS before FROM b), e AS (SELECT *, c > 0 AND (before IS NULL OR before <> c) AS emits FROM l)
       SELECT vec_id, coalesce(string_agg(['a', 'b', 'c'][c], '' ORDER BY t) FILTER (emits), '') AS text, round(coalesce(avg(v) FILTER (emits), 0.0), 6) AS confidence FROM e GROUP BY 1""",
-    "homography_fit": "SELECT vec_id, true AS exact FROM embeddings",
-    "marker_detect": "SELECT n_nationkey::BIGINT AS nation, m::BIGINT AS marker, true AS found FROM (SELECT n_nationkey, unnest([2 * n_nationkey, 2 * n_nationkey + 1]) AS m FROM nation)",
+    "homography_fit": """WITH n AS (SELECT vec_id, unnest(range(8)) AS quad, embedding::DOUBLE[] AS e FROM embeddings),
+      c AS (SELECT vec_id, quad, list_transform(range(4), lambda k: [30.0::DOUBLE * [0, 1, 1, 0][k + 1] + 5 * e[quad * 8 + 2 * k + 1], 30.0::DOUBLE * [0, 0, 1, 1][k + 1] + 5 * e[quad * 8 + 2 * k + 2]]) AS q FROM n),
+      d AS (SELECT *, q[3][1] - q[1][1] AS ax, q[3][2] - q[1][2] AS ay, q[4][1] - q[2][1] AS bx, q[4][2] - q[2][2] AS by_ FROM c),
+      t AS (SELECT *, ((q[2][1] - q[1][1]) * by_ - (q[2][2] - q[1][2]) * bx) / (ax * by_ - ay * bx) AS t FROM d)
+      SELECT vec_id, quad::BIGINT AS quad, round(q[1][1] + t * ax, 4) AS x, round(q[1][2] + t * ay, 4) AS y FROM t""",
+    "marker_detect": """SELECT n_nationkey::BIGINT AS nation, m::BIGINT AS marker, m::BIGINT AS seen, [36, 36, 108, 108][n_nationkey % 4 + 1]::BIGINT AS x, [36, 108, 108, 36][n_nationkey % 4 + 1]::BIGINT AS y
+      FROM (SELECT n_nationkey, unnest([2 * n_nationkey, 2 * n_nationkey + 1]) AS m FROM nation)""",
 }
