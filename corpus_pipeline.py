@@ -15,6 +15,9 @@ from namewright.llm import decontaminate, mixing, near_text, quality, token_stor
 from namewright.llm.common import DOCUMENT_COLUMNS, read
 from namewright.session import cut, prepare
 
+#: The classifier that the first stage of a run learned, by sf_dir, until the run's mix takes it.
+_LEARNED: dict[str, quality.Forest] = {}
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least 0.5; the model learns from the labels of this run's own documents.
@@ -24,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     prepare(spark)
     documents = docs.select(*DOCUMENT_COLUMNS)
-    model = quality.fitted(documents, read(spark, sf_dir, "labels"))
+    model = _LEARNED[sf_dir] = quality.fitted(documents, read(spark, sf_dir, "labels"))
     return quality.score_documents(documents, model).where("quality_score >= 0.5").select(*DOCUMENT_COLUMNS)
 
 
@@ -52,11 +55,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, repeated once for each time that the mix takes them; drawn by the classifier's score.
 
-    The model learns from the run's own documents as they came in, since hardly a rejected one is left here. Defined cases: those of
-    ``mixing.mixed_documents``; without labels all documents weigh the same.
+    The model is that of the run's first stage: it learned from the documents as they came in, wherever they were read, and hardly a
+    rejected one is left here. Only where this stage runs by itself, the documents of ``sf_dir`` are learned from. Defined cases:
+    those of ``mixing.mixed_documents``; without labels all documents weigh the same.
     """
     prepare(spark)
-    model = quality.fitted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    model = _LEARNED.pop(sf_dir, None) or quality.fitted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return mixing.mixed_documents(docs.select(*DOCUMENT_COLUMNS), model)
 
 

@@ -201,6 +201,21 @@ def test_run_equals_the_stages(spark, stages):
     assert cp.ORACLE_SQL is None and quality.MAX_TRAINING_ROWS > 0
 
 
+def test_documents_from_elsewhere(spark, stages, tmp_path):
+    """The mix weighs by the classifier of the run's own documents; sf_dir need not have them, or has others."""
+    d = "/root/testdata/sf0.001"
+    for table in ("labels", "benchmark"):
+        (tmp_path / f"{table}.parquet").symlink_to(f"{d}/{table}.parquet")
+    want = Counter(r.doc_id for r in stages["mixing sources to target weights"][1].collect())
+    for others in (False, True):
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        if others:
+            docs.limit(5).write.parquet(str(tmp_path / "documents.parquet"))
+        for _, stage in cp.STAGES[:4]:
+            docs = cut(stage(spark, docs, str(tmp_path)), "test-stage")
+        assert Counter(r.doc_id for r in docs.collect()) == want
+
+
 def test_stages_take_an_empty_table(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").where(F.lit(False))
